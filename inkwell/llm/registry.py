@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality, sharding
+from . import mixing, packing, quality, sharding, simhash
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "is_kept")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_quality_rules, op7_sharding, op10_source_mixing)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_quality_rules, op5_simhash_near_dedup, op7_sharding, op10_source_mixing)}
 
 
 _STOP = ", ".join(f"'{x}'" for w in sorted(set(quality.STOP_WORDS)) for x in (w, w[0].upper() + w[1:], f"{w},", f"{w}."))
