@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality, sharding, simhash, substring_dedup
+from . import audio, mixing, packing, quality, sharding, simhash, substring_dedup
 from .common import table
 
 
@@ -38,13 +38,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audio.audio_features(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").repartitionByRange("position").sortWithinPartitions("position")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op4_quality_rules, op5_simhash_near_dedup, op7_sharding, op10_source_mixing)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op4_quality_rules, op5_simhash_near_dedup, op7_sharding, op8_audio_features, op10_source_mixing)}
 
 
 _STOP = ", ".join(f"'{x}'" for w in sorted(set(quality.STOP_WORDS)) for x in (w, w[0].upper() + w[1:], f"{w},", f"{w}."))
