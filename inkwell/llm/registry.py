@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, mixing, packing, quality, sharding, simhash, substring_dedup
+from . import audio, langid, mixing, packing, quality, sharding, simhash, substring_dedup
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "is_kept")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op4_quality_rules, op5_simhash_near_dedup, op7_sharding, op8_audio_features, op10_source_mixing)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op4_quality_rules, op5_simhash_near_dedup, op6_language_id, op7_sharding, op8_audio_features, op10_source_mixing)}
 
 
 _STOP = ", ".join(f"'{x}'" for w in sorted(set(quality.STOP_WORDS)) for x in (w, w[0].upper() + w[1:], f"{w},", f"{w}."))
