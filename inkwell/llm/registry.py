@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, langid, mixing, packing, quality, sharding, simhash, substring_dedup
+from . import audio, langid, mixing, packing, quality, sharding, simhash, substring_dedup, warc
 from .common import table
 
 
@@ -47,13 +47,17 @@ def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op9_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").repartitionByRange("position").sortWithinPartitions("position")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op4_quality_rules, op5_simhash_near_dedup, op6_language_id, op7_sharding, op8_audio_features, op10_source_mixing)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op4_quality_rules, op5_simhash_near_dedup, op6_language_id, op7_sharding, op8_audio_features, op9_warc_converter, op10_source_mixing)}
 
 
 _STOP = ", ".join(f"'{x}'" for w in sorted(set(quality.STOP_WORDS)) for x in (w, w[0].upper() + w[1:], f"{w},", f"{w}."))
@@ -95,5 +99,18 @@ FROM d LEFT JOIN r USING (doc_id)
 """
 
 
+_OP9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+b AS (
+  SELECT *, list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(s, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) % 32, 1)), 'string_agg', '') AS d
+  FROM x)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op4_quality_rules": _OP4}
+    return {"op3_substring_dedup": _OP3, "op4_quality_rules": _OP4, "op9_warc_converter": _OP9}
