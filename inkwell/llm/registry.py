@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, langid, mixing, packing, quality, sharding, simhash, substring_dedup, warc
+from . import audio, langid, line_dedup, mixing, packing, quality, sharding, simhash, substring_dedup, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -57,7 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op4_quality_rules, op5_simhash_near_dedup, op6_language_id, op7_sharding, op8_audio_features, op9_warc_converter, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_substring_dedup, op4_quality_rules, op5_simhash_near_dedup, op6_language_id, op7_sharding, op8_audio_features, op9_warc_converter, op10_source_mixing)}
 
 
 _STOP = ", ".join(f"'{x}'" for w in sorted(set(quality.STOP_WORDS)) for x in (w, w[0].upper() + w[1:], f"{w},", f"{w}."))
