@@ -79,8 +79,7 @@ def base(docs: DataFrame) -> DataFrame:
     # In order of place, each window adds the words that the one before did not cover.
     added = F.transform("_again", lambda p, j: F.when(j == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get(F.col("_again"), j - 1))))
     covered = F.aggregate(added, F.lit(0), lambda a, x: a + x)
-    return step.select(
-        *docs.columns,
+    counts = F.struct(
         F.col("_n").cast("long").alias("n_words"),
         F.col("_chars").cast("long").alias("word_chars"),
         F.col("_symbols").cast("long").alias("n_symbols"),
@@ -89,6 +88,8 @@ def base(docs: DataFrame) -> DataFrame:
         F.col("_lines").cast("long").alias("n_lines"),
         F.col("_stop").cast("long").alias("n_stop_words"),
     )
+    # An array of one, exploded: a filter on the counts is then not pushed below them, where all would be worked out again.
+    return step.select(*docs.columns, F.explode(F.array(counts)).alias("_counts")).select(*docs.columns, "_counts.*")
 
 
 def measures() -> dict[str, Column]:
@@ -119,4 +120,4 @@ BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the counts, base_failed and kept. A null or empty text has no words and fails; repeated rows are judged alike."""
     failed = F.expr(BASE_FAILED)
-    return base(docs).withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)})
+    return base(docs).withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
