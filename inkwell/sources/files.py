@@ -45,9 +45,25 @@ class ExtractionError(ValueError):
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, size, ext, content: a row per file; columns that are not used are not read, content included."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return entries(raw)
+    """path, name, size, ext, content: a row per file; columns that are not used are not read, content included.
+
+    Spark's reader passes over files without bytes, so those are listed by themselves.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    empty = spark.createDataFrame([(p, 0, bytearray()) for p in _without_bytes(spark, path)], "path string, length long, content binary")
+    return entries(raw.unionByName(empty))
+
+
+def _without_bytes(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the folder's files that have no bytes, but for names that Spark hides."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed, out = system.listFiles(root, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0 and f.getPath().getName()[:1] not in "._":
+            out.append(f.getPath().toString())
+    return out
 
 
 def entries(raw: DataFrame) -> DataFrame:
