@@ -62,6 +62,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), NOT_WORD), lambda w: w != "")
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """docs as one struct column `_doc` beside keys, so that no column of docs, whatever its name, is taken for another."""
+    whole = F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("_doc")
+    return docs.select(whole, *[c.alias(name) for name, c in keys.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The columns of packed() documents again, some of them replaced."""
+    return df.select(*[replaced[c].alias(c) if c in replaced else F.col("_doc").getField(c).alias(c) for c in columns])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_map, stash, text_bytes
+from .common import arrow_map, packed, stash, text_bytes, unpacked
 from .substring_dedup import _BASE, LAST, mixed, word_hashes
 
 LEAST_WORDS = 8
@@ -194,10 +194,9 @@ def decisions(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without their duplicate lines, and without documents of which no word is left though they had some."""
     kept = _kept(docs).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "kept")
-    keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_t": F.xxhash64("text")})
-    joined = keyed.join(kept, (keyed["_i"] == kept["_id"]) & (keyed["_t"] == kept["_th"]), "left")
-    split = F.split("text", "\n")
-    left = F.filter(split, lambda x, i: F.array_contains("kept", i) | ~x.rlike(r"[^\x20\x09-\x0D]"))
-    text = F.when(_n_lines(F.col("text")) > F.size("kept"), F.array_join(left, "\n")).otherwise(F.col("text"))
-    gone = (_n_lines(F.col("text")) > 0) & (F.col("kept").isNull() | (F.size("kept") == 0))
-    return joined.where(~F.coalesce(gone, F.lit(False))).select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    keyed = packed(docs, _i=F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), _t=F.xxhash64("text"))
+    text = F.col("_doc").getField("text")
+    joined = keyed.join(kept, (keyed["_i"] == kept["_id"]) & (keyed["_t"] == kept["_th"]), "left").withColumn("_n", _n_lines(text))
+    left = F.filter(F.split(text, "\n"), lambda x, i: F.array_contains("kept", i) | ~x.rlike(r"[^\x20\x09-\x0D]"))
+    gone = (F.col("_n") > 0) & (F.col("kept").isNull() | (F.size("kept") == 0))
+    return unpacked(joined.where(~F.coalesce(gone, F.lit(False))), docs.columns, text=F.when(F.col("_n") > F.size("kept"), F.array_join(left, "\n")).otherwise(text))

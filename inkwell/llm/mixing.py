@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import NOT_WORD, prepare, stash
+from .common import NOT_WORD, packed, prepare, stash, unpacked
 
 #: Rows that a hash bucket of a source has on average at most.
 BUCKET_ROWS = 2000
@@ -127,14 +127,13 @@ def mixed(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     key = ["_id", "_draw", "_source"]
     decided = mix(docs, plan).select(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"), F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("position").alias("_position"))
     decided = stash(decided, "decided")
-    keyed = docs.withColumns({"_draw": F.xxhash64("doc_id", "text"), "_k": F.lit(1)})
+    keyed = packed(docs, _doc_id=F.col("doc_id"), _text_hash=F.xxhash64("doc_id", "text"), _of=F.col("source"), _row=F.lit(1))
     if decided.groupBy(*key).count().where("count > 1").isEmpty():
         decided = decided.withColumn("_k", F.lit(1))
     else:
         decided = decided.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("_position")))
-        keyed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_draw", "source").orderBy(F.lit(0))))
+        keyed = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_doc_id", "_text_hash", "_of").orderBy(F.lit(0))))
     decided = decided.where("_copies > 0")
-    on = keyed["doc_id"].eqNullSafe(decided["_id"]) & (keyed["_draw"] == decided["_draw"]) & keyed["source"].eqNullSafe(decided["_source"]) & (keyed["_k"] == decided["_k"])
-    out = keyed.join(decided, on).select(*[keyed[c] for c in docs.columns], "_copies", "_position")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    on = keyed["_doc_id"].eqNullSafe(decided["_id"]) & (keyed["_text_hash"] == decided["_draw"]) & keyed["_of"].eqNullSafe(decided["_source"]) & (keyed["_row"] == decided["_k"])
+    out = keyed.join(decided, on).select("_doc", "_position", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return unpacked(out.repartitionByRange("_position").sortWithinPartitions("_position"), docs.columns)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import NOT_WORD
+from .common import NOT_WORD, packed
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -39,6 +39,10 @@ RULES = (
 
 
 
+#: Columns that judged() adds; columns of docs of the same name give way.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "base_failed", "kept")
+
+
 def _is_stop_word(word: Column) -> Column:
     return word.isin([x for w in sorted(set(STOP_WORDS)) for x in (w, w[0].upper() + w[1:], f"{w},", f"{w}.")])
 
@@ -50,7 +54,8 @@ def base(docs: DataFrame) -> DataFrame:
     places: equal ones are then neighbours, and a word counts when its nearest such window begins at most two words before.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    step = docs.select("*", text.alias("_text"), F.filter(F.split(text, NOT_WORD), lambda w: w != "").alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(LINE_WITH_WORD)).alias("_l"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(LINE_WITH_WORD))
+    step = packed(docs, _text=text, _w=F.filter(F.split(text, NOT_WORD), lambda w: w != ""), _l=lines)
     n = F.size("_w")
     windows = F.when(
         n >= 3,
@@ -89,7 +94,9 @@ def base(docs: DataFrame) -> DataFrame:
         F.col("_stop").cast("long").alias("n_stop_words"),
     )
     # An array of one, exploded: a filter on the counts is then not pushed below them, where all would be worked out again.
-    return step.select(*docs.columns, F.explode(F.array(counts)).alias("_counts")).select(*docs.columns, "_counts.*")
+    out = step.select("_doc", F.explode(F.array(counts)).alias("_counts"))
+    own = [c for c in docs.columns if c.lower() not in MADE]
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in own], "_counts.*")
 
 
 def measures() -> dict[str, Column]:

@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import prepare, stash
+from .common import packed, prepare, stash
 
 SHARD_BYTES = 32 * 1024 * 1024
 #: Levels that one pass over the sizes adds to the directory.
@@ -73,6 +73,8 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
     """Write docs (key unique) as Parquet, a folder per shard; returns shards()."""
     where = stash(shards(docs, key, text, limit), "shards")
-    named = where.select(F.col(key).alias("_k"), F.concat(F.lit("b"), F.col("shard")).alias("shard"))
-    docs.join(named, docs[key].eqNullSafe(named["_k"])).drop("_k").repartition("shard").write.partitionBy("shard").parquet(path)
+    named = where.select(F.col(key).alias("_k"), F.concat(F.lit("b"), F.col("shard")).alias("_shard"))
+    keyed = packed(docs, _key=F.col(key))
+    out = keyed.join(named, keyed["_key"].eqNullSafe(named["_k"])).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns if c.lower() != "shard"], F.col("_shard").alias("shard"))
+    out.repartition("shard").write.partitionBy("shard").parquet(path)
     return where

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, stash, text_bytes
+from .common import arrow_map, packed, stash, text_bytes, unpacked
 from .components import components
 
 BITS = 64
@@ -198,8 +198,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataF
         out = found if out is None else out.union(found)
         if not masks:
             return out
-        again = F.coalesce(*[F.when(F.col("mask") == m, F.array(*[F.lit(_signed(x)).cast("long") for x in refined(m & MASK, distance)])) for m in masks])
-        rows = rows.join(large, ["mask", "value"], "left_semi").select("at", "fp", F.explode(again).alias("mask")).withColumn("value", F.col("at").bitwiseAND(F.col("mask")))
+        steps = fps.sparkSession.createDataFrame([(m, [_signed(x) for x in refined(m & MASK, distance)]) for m in masks], "mask long, next array<long>")
+        again = rows.join(large, ["mask", "value"], "left_semi").join(F.broadcast(steps), "mask")  # a row per mask
+        rows = again.select("at", "fp", F.explode("next").alias("mask")).withColumn("value", F.col("at").bitwiseAND(F.col("mask")))
 
 
 def _compared(rows: DataFrame, distance: int) -> DataFrame:
@@ -255,6 +256,6 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 def deduplicated(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, with docs' columns; rows alike in doc_id and text become one."""
     kept = near_duplicates(docs, distance, shingle).where("is_kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text_hash"] == kept["_th"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    keyed = packed(docs, _doc_id=F.col("doc_id").cast("long"), _text_hash=F.xxhash64("text"))
+    out = keyed.join(kept, keyed["_doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text_hash"] == kept["_th"]), "left_semi")
+    return unpacked(out.dropDuplicates(["_doc_id", "_text_hash"]), docs.columns)
