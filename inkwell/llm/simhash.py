@@ -138,7 +138,7 @@ def scheme(fps: DataFrame, distance: int = DISTANCE) -> list[tuple[int, list[int
         costs = []
         for bits in parts:
             sizes = [ball(len(bits), t) for t in range(-1, distance + 1)]
-            costs.append([size * (meet.get(_mask(bits), 0.0) + ROW_COST * n) for size in sizes])
+            costs.append([size * (meet.get(_mask(bits), 0.0) + ROW_COST * max(n, 1)) for size in sizes])
         found.append((*thresholds(costs, distance), parts))
     _, chosen, parts = min(found, key=lambda x: x[0])
     return [(_mask(bits), bits, t) for bits, t in zip(parts, chosen) if t >= 0]
