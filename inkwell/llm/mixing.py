@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import NOT_WORD, packed, prepare, stash, unpacked
 
 #: Rows that a hash bucket of a source has on average at most.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -119,6 +119,11 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     )
 
 
+def by_position(df: DataFrame, position: str = "position", draw: str = "draw") -> DataFrame:
+    """Sorted by range of position. The hash parts equal positions, and the many nulls of what is not taken."""
+    return df.repartitionByRange(position, draw).sortWithinPartitions(position, draw)
+
+
 def mixed(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     """The documents as the mix trains on them: a row per copy, with docs' columns, sorted by range of position.
 
@@ -135,5 +140,5 @@ def mixed(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
         keyed = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_doc_id", "_text_hash", "_of").orderBy(F.lit(0))))
     decided = decided.where("_copies > 0")
     on = keyed["_doc_id"].eqNullSafe(decided["_id"]) & (keyed["_text_hash"] == decided["_draw"]) & keyed["_of"].eqNullSafe(decided["_source"]) & (keyed["_row"] == decided["_k"])
-    out = keyed.join(decided, on).select("_doc", "_position", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return unpacked(out.repartitionByRange("_position").sortWithinPartitions("_position"), docs.columns)
+    out = keyed.join(decided, on).select("_doc", "_position", "_text_hash", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return unpacked(by_position(out, "_position", "_text_hash"), docs.columns)
