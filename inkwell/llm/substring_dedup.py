@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import arrow_map, prepare, text_bytes
 
 WINDOW = 50
-#: Stands for a null doc_id, which is larger than any other.
 LAST = (1 << 63) - 1
+#: From here on numbers stand for a null doc_id, which is larger than any other: one of many, by text, so that nulls spread.
+NULL = LAST - (1 << 24)
 #: Bytes of text that a worker hashes at a time, words whose hashes it remembers.
 CHUNK_BYTES = 3_000_000
 CACHE_WORDS = 300_000
@@ -193,9 +194,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, counts, places, hashes = unpacked(*row[2:])
             each = np.repeat(ids, counts)
             if row[1] == 0:
-                blocks.add(hashes, each)
+                blocks.add(hashes, np.minimum(each, NULL))
                 continue
-            hit = blocks.others(hashes, each)
+            hit = blocks.others(hashes, np.minimum(each, NULL))
             if not hit.any():
                 continue
             each, places = each[hit], places[hit]
@@ -246,7 +247,7 @@ def _results(window: int, with_text: bool):
                     kept += words[at:start]
                     at = end
                 kept = b" ".join(kept + words[at:])
-                rows.append((None if doc == LAST else doc, n, sum(e - s for s, e in spans), hashlib.sha256(kept).hexdigest(), spans, kept.decode() if with_text else None))
+                rows.append((None if doc >= NULL else doc, n, sum(e - s for s, e in spans), hashlib.sha256(kept).hexdigest(), spans, kept.decode() if with_text else None))
             out = zip(*rows) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _RESULT_TYPES)], _RESULT_NAMES)
 
@@ -276,7 +277,8 @@ def removed(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> Da
     """
     spark = prepare(docs.sparkSession)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("_md5"))
+    null = F.lit(NULL) + F.pmod(F.xxhash64("text"), F.lit(LAST - NULL))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), null).alias("_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("_md5"))
     dealt = base.repartition(buckets, "_id")
     firsts = base.groupBy("_md5").agg(F.min("_id").alias("_first")).groupBy("_first").agg(F.collect_set("_md5").alias("_own"))
 
@@ -287,8 +289,9 @@ def removed(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> Da
     sent = arrow_map(flagged(), _probes(buckets, window), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     anchors = arrow_map(sent, _anchors, "_id long, places array<int>").groupBy("_id").agg(F.collect_list("places").alias("places"))
     windows = arrow_map(_with(flagged(), anchors, F.col("places")), _candidates(window), "h long, _id long")
-    least = windows.groupBy("h").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most").select(F.col("h").alias("_h"), "least")
-    found = windows.join(least, windows["h"] == least["_h"]).where("_id > least")
+    place = F.least(F.col("_id"), F.lit(NULL))
+    least = windows.groupBy("h").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select(F.col("h").alias("_h"), "least")
+    found = windows.join(least, windows["h"] == least["_h"]).where(place > F.col("least"))
     found = found.groupBy("_id").agg(F.collect_list("h").alias("found")).withColumn("found", F.array("found"))
     return arrow_map(_with(flagged(), found, F.col("found")), _results(window, with_text), RESULT)
 
