@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import schema
+from .. import schema, sinks
 from ..functions import dimensions as dim, text as tx
-from ..operators import markdown as md, prompts, workspace as ws
+from ..operators import ingest, markdown as md, prompts, workspace as ws
 from ..schema import load
 from ..sources import files
 
@@ -363,6 +363,32 @@ def slide_concat(spark, sf_dir):
     return gathered.select("deck", F.md5(F.array_join(F.transform("s", lambda x: x["shown"]), "\n\n")).alias("text_md5"))
 
 
+@query(f"""WITH {DOCS} SELECT project_id, md5(string_agg('[Page ' || i || ']' || chr(10) || content || chr(10) || chr(10), '' ORDER BY i)) AS text_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY id) AS i FROM docs) GROUP BY project_id""")
+def page_concat(spark, sf_dir):
+    """Pages are numbered in order, and those without text are shown by their number."""
+    pages = schema.documents(spark, sf_dir).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("id", "content"))).alias("p"))
+    shown = F.transform("p", lambda x, i: F.concat(F.lit("[Page "), (i + 1).cast("string"), F.lit("]\n"), x["content"], F.lit("\n\n")))
+    return pages.select("project_id", F.md5(F.array_join(shown, "")).alias("text_md5"))
+
+
+@query("""SELECT conv_id AS project_id, turn, unnest([0, 1]) AS seq, unnest(['user', 'model']) AS role, unnest([text, 're: ' || left(text, 20)]) AS text
+FROM conversations WHERE role = 'user' AND turn % 3 <> 0""")
+def chat_turn_rows(spark, sf_dir):
+    """A failed turn (here every third) leaves no rows."""
+    asked = load(spark, sf_dir, "conversations").where("role = 'user'")
+    failed = F.col("turn") % 3 == 0
+    answered = asked.select(F.col("conv_id").alias("project_id"), "turn", F.col("text").alias("question"), F.when(~failed, F.concat(F.lit("re: "), F.left("text", F.lit(20)))).alias("reply"), F.when(failed, "no").alias("model_error"))
+    return sinks.turn_rows(answered, "project_id", "turn")
+
+
+@query(f"WITH {DOCS} SELECT id, name FROM docs WHERE id % 4 = 1")
+def retry_rows(spark, sf_dir):
+    docs = schema.documents(spark, sf_dir).select("id", "name")
+    ran = docs.withColumn("status", F.when(F.col("id") % 4 == 1, "error").otherwise("done"))
+    return ingest.to_retry(docs, ran)
+
+
 @query("SELECT s_name AS path, coalesce(try_cast(nullif(regexp_extract(s_name, '[0-9]+'), '') AS BIGINT), 0) AS number FROM supplier")
 def numeric_path_sort(spark, sf_dir):
     names = load(spark, sf_dir, "supplier").select(F.col("s_name").alias("path"), tx.digits_or_zero(F.col("s_name")).alias("number"))

@@ -32,18 +32,20 @@ def append_projects(rows: DataFrame, path: str) -> DataFrame:
     return _appended(named, PROJECTS, path)
 
 
+def turn_rows(answered: DataFrame, *keep: str) -> DataFrame:
+    """keep, seq, role, text: the user's message (seq 0), then the model's (1), of the turns that succeeded."""
+    good = answered.where(F.col("model_error").isNull() & tx.present(F.col("reply")))
+    pair = F.array(F.struct(F.lit(0).alias("seq"), F.lit("user").alias("role"), F.col("question").alias("text")), F.struct(F.lit(1).alias("seq"), F.lit("model").alias("role"), F.col("reply").alias("text")))
+    return good.select(*keep, F.explode(pair).alias("m")).select(*keep, "m.*")
+
+
 def append_turns(answered: DataFrame, path: str) -> DataFrame:
-    """answered (project_id, question, reply, model_error): the user's message, then the model's, of the turns that succeeded, in one write.
+    """answered (project_id, question, reply, model_error): both messages of the turns that succeeded, in one write.
 
     A failed turn is never stored. The model's message is stored a microsecond after the user's, which keeps their order.
     """
-    good = answered.where(F.col("model_error").isNull() & tx.present(F.col("reply")))
-    now = F.current_timestamp()
-    pair = F.array(
-        F.struct(F.lit("user").alias("role"), F.col("question").alias("text"), now.alias("created_at")),
-        F.struct(F.lit("model").alias("role"), F.col("reply").alias("text"), (now + F.expr("interval 1 microsecond")).alias("created_at")),
-    )
-    return _appended(good.select("project_id", F.explode(pair).alias("m")).select("project_id", "m.*"), CHAT_MESSAGES, path)
+    at = F.timestamp_micros(F.unix_micros(F.current_timestamp()) + F.col("seq"))
+    return _appended(turn_rows(answered, "project_id").withColumn("created_at", at), CHAT_MESSAGES, path)
 
 
 def merged(spark: SparkSession, path: str, rows: DataFrame, out: str, key: str = "id", order: str = "created_at") -> DataFrame:
