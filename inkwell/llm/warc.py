@@ -181,22 +181,29 @@ def _page_id(url: str) -> int | None:
     return int(tag) if re.fullmatch(r"-?\d+", tag) else None
 
 
-ARC_ROWS = "record_id string, page_id long, url string, date string, mime string, digest string, length long, payload binary"
+ARC_ROWS = "record_id string, page_id long, url string, date string, mime string, digest string, length long, name string, place long, payload binary"
 _ARC_NAMES = [c.split()[0] for c in ARC_ROWS.split(", ")]
-_ARC_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+_ARC_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
 
-def arc_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files of a folder, with synthesised identifiers, timestamps and digests."""
+def synthesised(name: str, content: bytes) -> Iterator[tuple]:
+    """The records of an ARC file as ARC_ROWS: with identifiers, ISO timestamps and digests that ARC has not."""
+    for r in read_arc(content):
+        digest, date = base32_sha1(r["payload"]), iso_date(r["archive-date"])
+        place = r["offset"]
+        yield record_id(r["url"], date, digest, f"{name}/{place}"), _page_id(r["url"]), r["url"], date, r["content-type"], digest, len(r["payload"]), name, place, r["payload"]
+
+
+def arc_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """The records of all ARC files of a folder."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                for r in read_arc(content.as_py()):
-                    digest, date = base32_sha1(r["payload"]), iso_date(r["archive-date"])
-                    yield record_id(r["url"], date, digest, f"{name}/{r['offset']}"), _page_id(r["url"]), r["url"], date, r["content-type"], digest, len(r["payload"]), r["payload"]
+                for r in synthesised(name, content.as_py()):
+                    yield r if with_payload else (*r[:-1], None)
 
-    return arrow_map(_files(spark, path), lambda batches: _batched(rows(batches), 7, _ARC_NAMES, _ARC_TYPES), ARC_ROWS)
+    return arrow_map(_files(spark, path), lambda batches: _batched(rows(batches), 9, _ARC_NAMES, _ARC_TYPES), ARC_ROWS)
 
 
 def typed(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -217,29 +224,45 @@ def typed(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     )
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """typed() records as WARC files, gzipped. Header values have no line breaks, as ARC header lines have none."""
-    revisit = F.col("refers_id").isNotNull()
-
-    def header(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-
+def warc_record(row: tuple, refers: tuple[str, str] | None) -> bytes:
+    """An ARC_ROWS row as a WARC record, without the line breaks that end it; refers: identifier and URL of the response that it repeats."""
+    identifier, _, url, date, mime, digest, length, _, _, payload = row
     fields = [
-        F.lit("WARC/1.1\r\n"),
-        header("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        header("WARC-Record-ID", F.concat(F.lit("<"), F.col("record_id"), F.lit(">"))),
-        header("WARC-Date", F.col("date")),
-        header("WARC-Target-URI", F.col("url")),
-        header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        header("WARC-Identified-Payload-Type", F.col("mime")),
-        header("X-Payload-Length", F.col("length").cast("string")),
-        F.when(revisit, F.concat(header("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), header("WARC-Refers-To", F.concat(F.lit("<"), F.col("refers_id"), F.lit(">"))), header("WARC-Refers-To-Target-URI", F.col("refers_url")))).otherwise(F.lit("")),
-        header("Content-Type", F.when(revisit, F.lit("message/http")).otherwise(F.col("mime"))),
-        header("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("length").cast("string"))),
-        F.lit("\r\n"),
+        ("WARC-Type", "revisit" if refers else "response"),
+        ("WARC-Record-ID", f"<{identifier}>"),
+        ("WARC-Date", date),
+        ("WARC-Target-URI", url),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Identified-Payload-Type", mime),
+        ("X-Payload-Length", str(length)),
     ]
-    record = F.concat(F.concat(*fields).cast("binary"), F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload")))
-    records.select(record.cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
+    if refers:
+        profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        fields += [("WARC-Profile", profile), ("WARC-Refers-To", f"<{refers[0]}>"), ("WARC-Refers-To-Target-URI", refers[1])]
+    fields += [("Content-Type", "message/http" if refers else mime), ("Content-Length", "0" if refers else str(length))]
+    return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields), "\r\n"]).encode() + (b"" if refers else payload)
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_REVISIT) -> None:
+    """Convert a folder of ARC files to one of WARC files, gzipped, a file for a file.
+
+    The first pass reads what decides a record's type, not payloads. What is decided goes to the files by name, so
+    payloads never cross the network; a file's decisions are as many as its records.
+    """
+    revisits = typed(arc_records(spark, arc_path, with_payload=False), least).where("refers_id is not null")
+    decided = revisits.groupBy(F.col("name").alias("_name")).agg(F.collect_list(F.struct("place", "refers_id", "refers_url")).alias("decided"))
+    files = _files(spark, arc_path)
+    joined = files.join(decided, files["name"] == decided["_name"], "left").select("name", "content", "decided")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for name, content, known in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                refers = {d["place"]: (d["refers_id"], d["refers_url"]) for d in known or ()}
+                for r in synthesised(name, content.as_py()):
+                    yield (warc_record(r, refers.get(r[8])),)
+
+    records = arrow_map(joined, lambda batches: _batched(rows(batches), 0, ["record"], [pa.binary()]), "record binary")
+    records.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(warc_path)
 
 
 WARC_ROWS = "page_id long, record_id string, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -264,11 +287,6 @@ def warc_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     return arrow_map(_files(spark, path), lambda batches: _batched(rows(batches), 8, _WARC_NAMES, _WARC_TYPES), WARC_ROWS)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_REVISIT) -> None:
-    """Convert a folder of ARC files to one of WARC files."""
-    write_warc(typed(arc_records(spark, arc_path), least), warc_path)
-
-
 def archived(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """pages (page_id, url, html) through ARC files, the converter and WARC files in the shared folder, read back.
 
