@@ -17,7 +17,8 @@ def tokenizer_path() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.decisions(table(spark, sf_dir, "documents"))
+    out = line_dedup.decisions(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_lines", F.array_join("kept_lines", ","))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,27 @@ FROM f
 """
 
 
+_OP1 = r"""
+WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+u AS (SELECT doc_id, p, unnest(range(len(p))) AS i FROM p),
+l AS (SELECT doc_id, i, list_filter(regexp_split_to_array(p[i + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM u),
+n AS (SELECT doc_id, i, w, array_to_string(w, ' ') AS k FROM l WHERE len(w) > 0),
+f AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS o FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) = 1),
+j AS (SELECT o, w, k, unnest(range(len(w) + 1)) AS j FROM f WHERE len(w) >= 8),
+v AS (SELECT o, j, CASE WHEN j = 0 THEN k ELSE array_to_string(list_concat(w[1 : j - 1], w[j + 1 :]), ' ') END AS v FROM j),
+m AS (
+  SELECT o, j, min(o) OVER (PARTITION BY v, j) AS same, min(CASE WHEN j = 0 THEN o END) OVER (PARTITION BY v) AS whole,
+         min(CASE WHEN j > 0 THEN o END) OVER (PARTITION BY v) AS cut
+  FROM v),
+near AS (SELECT DISTINCT o FROM m WHERE same < o OR j > 0 AND whole < o OR j = 0 AND cut < o),
+r AS (
+  SELECT doc_id, count(near.o) AS n_near, count(*) FILTER (near.o IS NULL) AS n_kept, string_agg(i, ',' ORDER BY i) FILTER (near.o IS NULL) AS kept_lines
+  FROM f LEFT JOIN near ON f.o = near.o GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_lines FROM n GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines, 0) - coalesce(n_kept, 0) AS n_removed, coalesce(n_near, 0) AS n_near, coalesce(kept_lines, '') AS kept_lines
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
 _OP3 = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -117,4 +139,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op4_quality_rules": _OP4, "op9_warc_converter": _OP9}
+    return {"op1_line_dedup": _OP1, "op3_substring_dedup": _OP3, "op4_quality_rules": _OP4, "op9_warc_converter": _OP9}

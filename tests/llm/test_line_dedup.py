@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from hypothesis import given, strategies as st
 
-from inkwell.llm import line_dedup as ld
+from inkwell.llm import line_dedup as ld, registry
 
 
 def expected(rows, least=ld.LEAST_WORDS):
@@ -90,3 +90,7 @@ def test_one_variant_that_very_many_lines_share(spark):
     rows = [(i, f"a log line of some words with number {i} in its middle somewhere") for i in range(3000)]
     out = ld.decisions(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 0").collect()
     assert [r.doc_id for r in out] == [0]
+
+
+def test_sql(spark, sf_dir, duck, same_rows):
+    same_rows(registry.op1_line_dedup(spark, sf_dir), duck.sql(registry.oracle_sql()["op1_line_dedup"]))

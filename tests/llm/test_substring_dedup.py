@@ -70,3 +70,16 @@ def test_rolling_hash_is_the_window_s(words, width):
     assert len(h) == max(0, len(words) - width + 1)
     for i in range(len(h)):
         assert h[i] == sd.rolling(np.array(words[i : i + width], np.uint64), width)[0]
+
+
+def test_sql(spark, sf_dir, duck, same_rows):
+    from inkwell.llm import registry
+
+    same_rows(registry.op3_substring_dedup(spark, sf_dir), duck.sql(registry.oracle_sql()["op3_substring_dedup"]))
+
+
+def test_nulls_are_last_and_spread(spark):
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [(None, f"{passage} {i}") for i in range(20)] + [(4, f"x {passage}"), (None, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == expected(rows, 50)
