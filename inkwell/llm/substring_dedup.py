@@ -13,12 +13,13 @@ and no memory. Exact copies are settled by the digest of the text and neither in
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import arrow_map, prepare, text_bytes
 
@@ -119,8 +120,15 @@ def _chunks(texts: list[bytes | None]) -> Iterator[range]:
         yield range(start, len(texts))
 
 
-def _probes(buckets: int, window: int):
-    block = window // 2
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning sends there, so that n buckets fill n partitions alike."""
+    tries = spark.range(int(n * (math.log(n) + 12))).select(F.col("id").cast("int").alias("k"))
+    first = {r["p"]: r["k"] for r in tries.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()}  # n rows
+    return [first.get(i, i) for i in range(n)]
+
+
+def _probes(keys: list[int], window: int):
+    block, buckets = window // 2, len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,6 +146,7 @@ def _probes(buckets: int, window: int):
                 doc, place, found = (np.concatenate(x) for x in (docs, places, hashes))
                 grid = place % block == 0
                 rows = packed(0, doc[grid], place[grid], found[grid], buckets) + packed(1, doc, place, found, buckets)
+                rows = [(keys[r[0]], *r[1:]) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED_TYPES)], _PACKED_NAMES)
 
     return run
@@ -286,7 +295,7 @@ def removed(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> Da
         joined = dealt.join(firsts, dealt["_id"] == firsts["_first"], "left")
         return joined.select("_id", "text", F.coalesce(F.array_contains("_own", F.col("_md5")), F.lit(False)).alias("_is_first"))
 
-    sent = arrow_map(flagged(), _probes(buckets, window), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    sent = arrow_map(flagged(), _probes(even_keys(spark, buckets), window), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     anchors = arrow_map(sent, _anchors, "_id long, places array<int>").groupBy("_id").agg(F.collect_list("places").alias("places"))
     windows = arrow_map(_with(flagged(), anchors, F.col("places")), _candidates(window), "h long, _id long")
     place = F.least(F.col("_id"), F.lit(NULL))
