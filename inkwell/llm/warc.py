@@ -27,6 +27,8 @@ from .common import arrow_map, fresh_path
 LEAST_REVISIT = 0
 #: Bytes of decoded records that a worker hands on at a time.
 BATCH_BYTES = 4_000_000
+#: How archives are written. The fastest level makes markup a tenth larger than the default and takes less than half the time.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 # Layouts of the two versions' header lines, as their version blocks state them.
 ARC_FIELDS = {
@@ -155,7 +157,7 @@ def write_arc(pages: DataFrame, path: str) -> None:
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     block = F.when(first, F.when(part % 2 == 1, F.lit(start[1])).otherwise(F.lit(start[2]))).otherwise(F.lit(""))
     record = F.concat(F.concat(block, header, F.lit("\n")).cast("binary"), payload)
-    pages.select(record.cast("string").alias("value")).write.option("compression", "gzip").text(path)
+    pages.select(record.cast("string").alias("value")).write.options(**GZIP).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -262,7 +264,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
                     yield (warc_record(r, refers.get(r[8])),)
 
     records = arrow_map(joined, lambda batches: _batched(rows(batches), 0, ["record"], [pa.binary()]), "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(warc_path)
+    records.select(F.col("record").cast("string").alias("value")).write.options(**GZIP).option("lineSep", "\r\n\r\n").text(warc_path)
 
 
 WARC_ROWS = "page_id long, record_id string, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
