@@ -71,3 +71,11 @@ def test_a_length_that_very_many_share():
     counts[1000] = 10**12
     counts[96] = 10**6
     assert sum(t for _, t in packing.plan(counts)) == 10**12 // 4
+
+
+@given(st.text(alphabet="aZé日ß'’!.,*#-_<|>0 1½\ń̸ \x85İΣ", max_size=25))
+@settings(deadline=None, max_examples=1500)
+def test_ids_are_the_tokenizer_s(text):
+    ids = packing.word_ids(tokenizer_path())
+    found = np.frombuffer(packing.token_bytes(text.encode(), ids), "<u4").tolist()
+    assert found == ids.tokenizer.encode(text, add_special_tokens=False).ids + [1]
