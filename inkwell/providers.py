@@ -14,7 +14,9 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+# What users are told.
 EMPTY_REPLY = "Empty response from model."
+HTTP_ERROR = "OpenRouter error {status}: {reason}"
 
 
 class ProviderError(RuntimeError):
@@ -73,7 +75,7 @@ def reply_text(status: int, reason: str, body: str) -> str:
     except ValueError:
         data = {}
     if not 200 <= status < 300:
-        raise ProviderError(_path(data, "error", "message") or f"OpenRouter error {status}: {reason}")
+        raise ProviderError(_path(data, "error", "message") or HTTP_ERROR.format(status=status, reason=reason))
     if not (text := _path(data, "choices", 0, "message", "content")):
         raise ProviderError(EMPTY_REPLY)
     return text
