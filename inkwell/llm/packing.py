@@ -25,7 +25,7 @@ from .common import arrow_map, stash, text_bytes
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; more than that, and it starts again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 _tokenizers: dict[str, WordIds] = {}
@@ -55,35 +55,34 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.parts = Tokenizer.from_file(path), {b"": b""}
-        self.merges = self.tokenizer.model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
 
     def whole(self, word: bytes) -> bytes:
         return np.asarray(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, stem: bytes) -> bytes:
-        text = stem.decode("utf-8", "replace")
-        if not (text.isascii() and text.isalpha()):
-            text = "".join([c.lower() for c in text])
-            if not (text.isalpha() and unicodedata.is_normalized("NFC", text)):
-                return self.whole(stem)
-            text = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(text)])
+    def merged(self, letters: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(letters)])
+
+    def stem(self, stem: bytes) -> bytes:
+        if stem.isalpha():  # of bytes: ASCII letters only
+            return self.merged(stem.decode("ascii"))
+        text = "".join([c.lower() for c in stem.decode("utf-8", "replace")])
+        if not (text.isalpha() and unicodedata.is_normalized("NFC", text)):
+            return self.whole(stem)
+        return self.merged(text.encode().decode("latin-1").translate(_BYTE_LETTERS))
 
     def __missing__(self, word: bytes) -> bytes:
+        low = word.lower()
+        stem = low.rstrip(_TAIL)
         if b"<|" in word:  # special tokens are told by case
             found = self.whole(word)
-        else:
-            low = word.lower()
-            stem = low.rstrip(_TAIL)
-            if stem and not stem[-1:].isalnum() and not stem.decode("utf-8", "replace")[-1].isalpha():
-                stem = low  # the run of signs begins before the tail
-            if (found := self.parts.get(stem)) is None:
-                found = self.parts[stem] = self.part(stem)
-            if tail := low[len(stem) :]:
-                if tail not in self.parts:
-                    self.parts[tail] = self.whole(tail)
-                found += self.parts[tail]
+        elif stem == word:
+            found = self.stem(word)
+        elif stem and (stem[-1:].isalnum() or stem.decode("utf-8", "replace")[-1].lower().isalpha()):
+            found = self[stem] + (self[low[len(stem) :]] if len(stem) < len(low) else b"")
+        else:  # signs alone, or a run of them that begins before the tail
+            found = self.whole(low)
         self[word] = found
         return found
 
@@ -91,8 +90,6 @@ class WordIds(dict):
         """Bounds the memory; called between batches."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {b"": b""}
 
 
 def word_ids(path: str) -> WordIds:
