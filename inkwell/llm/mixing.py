@@ -1,7 +1,7 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Each source has a weight schedule over training time, linear from `first` to `last`. Its integral gives the source's
-cumulative demand; a document that fills the source's words from a to b is trained on when demand reaches the middle
+cumulative demand; a copy of a document that fills the source's words from a to b is trained on when demand reaches the middle
 of that span, which is found by inverting the integral in closed form. Documents are then sorted by range of position.
 
 Targets come from fixed weights: `budget` times all words is shared by weight, a source gets `most_epochs` times its own words at
@@ -65,12 +65,13 @@ def position(done: Column, first: Column, last: Column) -> Column:
 
 
 def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies, position.
+    """One row per document: doc_id, source, size, source_size, target, taken, copies, position, positions.
 
     A source's documents are laid in a row, in order of a hash of doc_id and text, as often as its target needs; `copies` is how often
     all of a document is taken and `taken` that many times its size. The last pass over a source ends with the document in which the
     target lies, taken if more than half of it is needed, so taken words differ from the target by half a document at most.
-    position (0..1) is that of the first copy; null when nothing is taken. A null text has size 0, a null source is a
+    positions (0..1) has one for each copy, later passes over the source after earlier ones, and position is the first; both are
+    null when nothing is taken. A null text has size 0, a null source is a
     source of its own, sorted last; repeated rows are documents of their own; an empty table gives no rows. Documents
     without words take nothing and have as many copies as the whole passes over their source.
     """
@@ -105,7 +106,11 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - passes * F.col("source_size")
     copies = passes + F.when(a + F.col("size") / 2 < rest, 1).otherwise(0)
-    done = F.when(F.col("target") > 0, F.least((a + F.col("size") / 2) / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
+
+    def place(k: Column) -> Column:
+        done = F.least((a + k * F.col("source_size") + F.col("size") / 2) / F.col("target"), F.lit(1.0))
+        return position(F.when(F.col("target") > 0, done).otherwise(F.lit(0.0)), F.col("first"), F.col("last"))
+
     return laid.select(
         "doc_id",
         "source",
@@ -114,7 +119,8 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
         "target",
         (copies * F.col("size")).alias("taken"),
         copies.cast("int").alias("copies"),
-        F.when(copies > 0, position(done, F.col("first"), F.col("last"))).alias("position"),
+        F.when(copies > 0, place(F.lit(0))).alias("position"),
+        F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), place)).alias("positions"),
         "draw",
     )
 
@@ -125,20 +131,20 @@ def by_position(df: DataFrame, position: str = "position", draw: str = "draw") -
 
 
 def mixed(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
-    """The documents as the mix trains on them: a row per copy, with docs' columns, sorted by range of position.
+    """The documents as the mix trains on them: a row per copy at its own position, with docs' columns, sorted by range of position.
 
     Rows alike in doc_id, text and source share out the places that mix() gave them. Columns besides are passed on.
     """
     key = ["_id", "_draw", "_source"]
-    decided = mix(docs, plan).select(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"), F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("position").alias("_position"))
+    decided = mix(docs, plan).select(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"), F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("positions").alias("_positions"))
     decided = stash(decided, "decided")
     keyed = packed(docs, _doc_id=F.col("doc_id"), _text_hash=F.xxhash64("doc_id", "text"), _of=F.col("source"), _row=F.lit(1))
     if decided.groupBy(*key).count().where("count > 1").isEmpty():
         decided = decided.withColumn("_k", F.lit(1))
     else:
-        decided = decided.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("_position")))
+        decided = decided.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("_positions")))
         keyed = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_doc_id", "_text_hash", "_of").orderBy(F.lit(0))))
     decided = decided.where("_copies > 0")
     on = keyed["_doc_id"].eqNullSafe(decided["_id"]) & (keyed["_text_hash"] == decided["_draw"]) & keyed["_of"].eqNullSafe(decided["_source"]) & (keyed["_row"] == decided["_k"])
-    out = keyed.join(decided, on).select("_doc", "_position", "_text_hash", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    out = keyed.join(decided, on).select("_doc", "_text_hash", F.explode("_positions").alias("_position"))
     return unpacked(by_position(out, "_position", "_text_hash"), docs.columns)

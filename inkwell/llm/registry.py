@@ -58,7 +58,7 @@ def op9_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "positions")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

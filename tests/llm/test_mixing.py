@@ -88,3 +88,18 @@ def test_positions_follow_the_schedules(spark):
     rows = mixing.mix(df, mixing.Curriculum(weights=(1,), ramps=((1.5, 0.5),), budget=1.0)).collect()
     early = sum(r.taken for r in rows if r.position < 0.5) / sum(r.taken for r in rows)
     assert early == pytest.approx(0.625, abs=0.01)
+
+
+@pytest.mark.parametrize("ramp", [(1.0, 1.0), (1.5, 0.5), (0.5, 1.5)])
+def test_every_copy_has_a_place_of_its_own(spark, ramp):
+    """Of two and a half passes, each quarter of training holds the words that its schedule asks for."""
+    df = spark.range(800).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    plan = mixing.Curriculum(weights=(1,), ramps=(ramp,), budget=2.5, most_epochs=3.0)
+    rows = mixing.mix(df, plan).collect()
+    assert all(len(r.positions) == r.copies and r.positions[0] == r.position and r.positions == sorted(set(r.positions)) for r in rows)
+    places = [p for r in rows for p in r.positions]
+    first, last = ramp
+    for t in (0.25, 0.5, 0.75, 1.0):
+        assert sum(p <= t for p in places) / len(places) == pytest.approx(first * t + (last - first) * t * t / 2, abs=0.01)
+    order = [r.doc_id for r in mixing.mixed(df, plan).collect()]
+    assert len(order) == 2000 and len(set(order[:800])) == len(set(order[800:1600])) == 800
