@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkwell.llm import line_dedup, mixing, packing, quality, simhash
+from inkwell.llm import jaccard, line_dedup, mixing, packing, quality
 from inkwell.llm.common import prepare, stash, table
 from inkwell.llm.registry import tokenizer_path
 
@@ -25,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies stays: of those that links of a five-word Jaccard of 0.8 or more connect."""
+    return jaccard.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,147 @@
+"""Near copies by the Jaccard similarity of their shingles, with MinHash bands for candidates and whole sets for proof.
+
+Two documents are linked if the sets of their shingles (SHINGLE words in a row) have a similarity of SIMILARITY or more.
+Documents meet that agree in all ROWS smallest hashes of one of BANDS bands; a pair of similarity s does in none with the
+chance (1 - s ** ROWS) ** BANDS, 1e-10 at 0.8. Every pair that meets is compared on the sets themselves.
+
+Equal sets are one. In a group that is too large for all pairs, the smallest members are compared with all others first, and
+more of them round by round, until none is left or links found anywhere join the whole group: what is skipped are pairs that
+are already connected, so components are those of all pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import arrow_map, packed, stash, text_bytes, unpacked
+from .components import components
+from .substring_dedup import mixed, rolling, word_hashes
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS = 32
+ROWS = 3
+#: Largest group of which all pairs are compared at once; each round takes GROWTH times as many members as the one before.
+GROUP = 16
+GROWTH = 4
+_FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_MIX = mixed(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the text's shingles, in order; a shorter text is one shingle, one without words has none."""
+    hashes = word_hashes((text or b"").lower())
+    return np.unique(rolling(hashes, max(1, min(shingle, len(hashes)))))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """A hash of each band's smallest hashes."""
+    if not len(found):
+        return []
+    least = np.full(len(_FACTORS), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(found), 1024):
+        np.minimum(least, np.multiply.outer(_FACTORS, found[at : at + 1024]).min(1), out=least)
+    keys = mixed((least.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    return keys.view(np.int64).tolist()
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, node (the hash of the set), size, keys of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, shingle) for t in text_bytes(b.column(2))]
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            size = np.array([len(s) for s in sets], np.int64)
+            keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(size), keys], ["doc_id", "text_hash", "node", "size", "keys"])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, node long, size long, keys array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles of the wanted (node, th)."""
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(wanted, texts["text_hash"] == wanted["th"]).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in text_bytes(b.column(1))], pa.binary())], ["node", "shingles"])
+
+    return arrow_map(texts, run, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _share(node: Column) -> Column:
+    """The place of a hash among all, 0..1."""
+    return node / F.lit(2.0**64) + 0.5
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return arrow_map(pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y"), run, "a long, b long")
+
+
+def roots(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """members (key, node, size) -> node, root: the components of the links among members of equal key."""
+    members, edges = members.withColumn("root", F.col("node")), None
+    while True:
+        found = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+        found = found.where("n > 1 and r1 <> r2").drop("r1", "r2")
+        first = (F.col("n") <= group) | (F.col("node") == F.col("low")) | (_share(F.col("node")) < _share(F.col("low")) + (1 - _share(F.col("low"))) * group / F.col("n"))
+        members = stash(members.join(found, "key").select("key", "node", "size", "root", first.alias("first")), "members")
+        if edges is not None and members.isEmpty():
+            return known
+        one = members.where("first").select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("r"))
+        pairs = one.join(members, "key").where((F.col("a") < F.col("node")) & (F.col("r") != F.col("root")) & (F.least("m", "size") >= similarity * F.greatest("m", "size")))
+        good = stash(_verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity), "links")
+        edges = good if edges is None else edges.union(good)
+        known = stash(components(edges), "roots")
+        rest, at = members.where("not first").select("key", "node", "size"), known.withColumnRenamed("node", "_node")
+        members = rest.join(at, rest["node"] == at["_node"], "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        group *= GROWTH
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
+    """doc_id, text_hash, component_id (the smallest doc_id reachable), is_kept.
+
+    Texts without words are one component. One row of each component, the first by doc_id (null last) and text_hash, has
+    is_kept; rows alike in both are all marked. An empty table gives no rows; other columns are not read.
+    """
+    rows = stash(signatures(docs, shingle), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    nodes = stash(rows.groupBy("node").agg(first.alias("first"), F.min("text_hash").alias("th"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    members = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    shared = members.groupBy("key").count().where("count > 1").select("key")
+    members = stash(members.join(shared, "key", "left_semi"), "shared")
+    sets = stash(_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "th"), shingle), "sets")
+    of = roots(members, sets, similarity, group)
+    known = nodes.join(of, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    known = stash(known, "known")
+    best = known.groupBy("root").agg(F.min("first").alias("best"))
+    joined = rows.select("doc_id", "text_hash", "node").join(known.join(best, "root").select("node", "best"), "node")
+    kept = joined["doc_id"].eqNullSafe(F.col("best.doc_id")) & (joined["text_hash"] == F.col("best.text_hash"))
+    return joined.select("doc_id", "text_hash", F.col("best.doc_id").alias("component_id"), kept.alias("is_kept"))
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, with docs' columns; rows alike in doc_id and text become one."""
+    kept = near_copies(docs, similarity, shingle).where("is_kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
+    keyed = packed(docs, _doc_id=F.col("doc_id").cast("long"), _text_hash=F.xxhash64("text"))
+    out = keyed.join(kept, keyed["_doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text_hash"] == kept["_th"]), "left_semi")
+    return unpacked(out.dropDuplicates(["_doc_id", "_text_hash"]), docs.columns)

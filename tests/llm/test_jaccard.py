@@ -1,0 +1,69 @@
+import random
+from itertools import combinations
+
+import pytest
+
+import corpus_pipeline
+from inkwell.llm import jaccard
+
+
+def slow_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def slow_roots(docs):
+    """doc_id -> the smallest doc_id reachable over pairs with a five-word Jaccard of 0.8 or more."""
+    sets, root = {i: slow_set(t) for i, t in docs}, {i: i for i, _ in docs}
+    for a, b in combinations(sorted(sets), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def changed(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """Near copies of every nearness, a large group of them, a chain, exact copies and loners."""
+    rng = random.Random(7)
+    new = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    texts = []
+    for n in (60, 120, 900):
+        for _ in range(3):
+            base = new(n)
+            texts += [base, base.upper(), *[changed(rng, base, max(1, n * k // 100)) for k in (1, 1, 2, 2, 3, 5)]]
+    base = new(200)
+    texts += [changed(rng, base, 3) for _ in range(60)] + [changed(rng, base, 1) for _ in range(20)]
+    for _ in range(30):
+        base = changed(rng, base, 3)
+        texts.append(base)
+    texts += [new(80) for _ in range(50)] + ["a b c", "a b c", "a b d", "", " "]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("group", [2, 16])
+def test_components_are_those_of_all_pairs(spark, copies, group):
+    df = spark.createDataFrame(copies, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in jaccard.near_copies(df, group=group).collect()} == slow_roots(copies)
+
+
+def test_the_pipeline_keeps_one_of_each(spark, copies):
+    df = spark.createDataFrame(copies, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, df, "")
+    roots = slow_roots(copies)
+    assert {r.doc_id: r.text for r in out.collect()} == {i: t for i, t in copies if roots[i] == i}
+
+
+def test_odd(odd, none):
+    roots = slow_roots([(k, t) for k, t in enumerate(r.text for r in odd.collect())])
+    out = jaccard.deduplicated(odd)
+    assert out.columns == odd.columns and out.count() == len(set(roots.values()))
+    assert jaccard.near_copies(none).count() == 0 and jaccard.deduplicated(none).count() == 0
