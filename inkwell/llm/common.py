@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word is a run of characters other than ASCII white space; bytes.split() cuts the same way.
 NOT_WORD = r"[\x20\x09-\x0D]+"
@@ -79,6 +79,39 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def alike(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """The condition that left and right agree in the columns `names`, nulls with nulls."""
+    out = F.lit(True)
+    for name in names:
+        out = out & left[name].eqNullSafe(right[name])
+    return out
+
+
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df, written to the shared folder, with a column `name`: 0, 1, ... among the rows that agree in `by`.
+
+    Counted in two steps, within what a task has written and over tasks, so that a value that very many rows share meets
+    in no task; only `by` and row numbers are shuffled for it.
+    """
+    df = stash(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    ids = df.select(*by, "_at", F.shiftright("_at", 33).alias("_task"))
+    local = ids.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_task").orderBy("_at")) - 1)
+    counts = ids.groupBy(*by, "_task").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*by, "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = local.join(firsts, alike(local, firsts, [*by, "_task"])).select(local["_at"], (F.col("_before") + F.col("_local")).alias(name))
+    return df.join(ranked, "_at").drop("_at")
+
+
+def spread(df: DataFrame, n: str, name: str, step: int = 10_000) -> DataFrame:
+    """df with each row as often as its column n says, numbered 0 to n - 1 in `name`; the copies of a row with very many are dealt over tasks."""
+    many = df.agg(F.max(n)).first()[0] or 0
+    if many > step:
+        df = df.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / step).cast("long")))).repartition(F.col("_step"), *df.columns)
+        return df.withColumn(name, F.explode(F.sequence(F.col("_step") * step, F.least(F.col(n), (F.col("_step") + 1) * step) - 1))).drop("_step")
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

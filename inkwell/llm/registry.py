@@ -49,7 +49,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.audio_features(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensor", "duration", "segments")
 
 
 def op9_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def op9_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "positions")
+    places = [F.round(F.get("positions", F.lit(k)), 9).alias(f"position_{k + 1}") for k in range(2)]  # most_epochs is 2
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", *places)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -138,5 +139,56 @@ FROM b
 """
 
 
+_OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+         ('0x' || substr(md5('=' || doc_id || '|' || coalesce(text, '')), 1, 15))::BIGINT AS draw
+  FROM documents),
+n AS (SELECT source, sum(size)::BIGINT AS words, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k FROM d GROUP BY source),
+s AS (
+  SELECT source, words, 2.0::DOUBLE * words AS most, ([3, 1, 2])[k + 1]::DOUBLE AS weight,
+         ([1.0, 1.5, 0.5])[k + 1]::DOUBLE AS first, ([1.0, 0.5, 1.5])[k + 1]::DOUBLE AS last
+  FROM n),
+l AS (  -- the level rises until no more sources are full
+  SELECT 0 AS i, 1.5::DOUBLE * sum(words) / sum(weight) AS level FROM s
+  UNION ALL
+  SELECT i + 1, (1.5::DOUBLE * sum(words) - coalesce(sum(CASE WHEN weight * level > most THEN most END), 0)) / sum(CASE WHEN weight * level <= most THEN weight END)
+  FROM l, s WHERE i < 50 GROUP BY i, level),
+t AS (SELECT s.*, least(most, weight * (SELECT max(level) FROM l)) AS target FROM s),
+a AS (
+  SELECT doc_id, size, words, target, first, last,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END AS passes FROM a),
+c AS (SELECT *, (passes + CASE WHEN a + size / 2 < target - passes * words THEN 1 ELSE 0 END)::INT AS copies FROM p),
+w AS (
+  SELECT *, CASE WHEN target > 0 THEN least((a + size / 2) / target, 1) ELSE 0 END AS x, CASE WHEN target > 0 THEN least((a + words + size / 2) / target, 1) ELSE 0 END AS y
+  FROM c),
+q AS (
+  SELECT *, CASE WHEN first = last THEN x ELSE (sqrt(first * first + (last - first) * (first + last) * x) - first) / (last - first) END AS u,
+         CASE WHEN first = last THEN y ELSE (sqrt(first * first + (last - first) * (first + last) * y) - first) / (last - first) END AS v
+  FROM w)
+SELECT doc_id, size, words AS source_size, target, copies * size AS taken, copies,
+       CASE WHEN copies >= 1 THEN round(u, 9) END AS position_1, CASE WHEN copies >= 2 THEN round(v, 9) END AS position_2
+FROM q
+"""
+
+
+#: A directory level by level: a cell is a shard at the first depth from the starting one at which it fits.
+_OP7 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n, md5('=' || doc_id || '|' || coalesce(text, '')) AS h FROM documents),
+b AS (SELECT doc_id, n, lpad(bin(('0x' || substr(h, 1, 15))::BIGINT), 60, '0') AS b FROM d),
+s AS (SELECT greatest(0, ceil(log2(greatest(sum(n), 1) / {sharding.SHARD_BYTES}.0)))::INT AS start FROM b),
+l AS (
+  SELECT doc_id, n, b, start AS depth, sum(n) OVER (PARTITION BY left(b, start)) AS bytes, count(*) OVER (PARTITION BY left(b, start)) AS rows FROM b, s
+  UNION ALL
+  SELECT doc_id, n, b, depth + 1, sum(n) OVER (PARTITION BY left(b, depth + 1)), count(*) OVER (PARTITION BY left(b, depth + 1))
+  FROM l WHERE bytes > {sharding.SHARD_BYTES} AND rows > 1)
+SELECT doc_id, n AS n_bytes, left(b, depth) AS shard, depth::INT AS depth, bytes::BIGINT AS shard_bytes, rows::BIGINT AS shard_rows
+FROM l WHERE bytes <= {sharding.SHARD_BYTES} OR rows = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op3_substring_dedup": _OP3, "op4_quality_rules": _OP4, "op9_warc_converter": _OP9}
+    return {"op1_line_dedup": _OP1, "op3_substring_dedup": _OP3, "op4_quality_rules": _OP4, "op7_sharding": _OP7, "op9_warc_converter": _OP9, "op10_source_mixing": _OP10}
