@@ -7,8 +7,9 @@ of that span, which is found by inverting the integral in closed form. Documents
 Targets come from fixed weights: `budget` times all words is shared by weight, a source gets `most_epochs` times its own words at
 most, and what is above goes to the others by weight until none is above.
 
-Words before a document within its source are a prefix sum in order of a hash. It is taken in two steps, over
-the sums of hash buckets and within a bucket, so that a source of any size is dealt over many tasks.
+Words before a document within its source are a prefix sum in order of a hash. It is taken in three steps, over blocks of
+hash buckets, over the buckets of a block and within a bucket, so that a source of any size is dealt over many tasks. Rows
+alike are one row with a count until their places are known. Sources are a table too, as there may be millions of them.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import NOT_WORD, packed, prepare, stash, unpacked
+from .common import NOT_WORD, alike, numbered, packed, prepare, spread, stash, unpacked
 
-#: Rows that a hash bucket of a source has on average at most.
-BUCKET_ROWS = 500
+#: Rows that a hash bucket of a source has on average at most, and buckets of a block.
+BUCKET_ROWS, BLOCK = 500, 1024
 
 
 @dataclass(frozen=True)
@@ -39,21 +40,48 @@ def n_words(text: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], plan: Curriculum) -> list[dict]:
-    """Water-filling over the sources, one row each, in their order."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    rows = [{"source": s, "words": n, "weight": plan.weights[i % len(plan.weights)], "ramp": plan.ramps[i % len(plan.ramps)]} for i, (s, n) in enumerate(order)]
-    rest, open_rows = plan.budget * sum(r["words"] for r in rows), rows
-    while open_rows:
-        each = rest / sum(r["weight"] for r in open_rows)
-        above = [r for r in open_rows if each * r["weight"] > plan.most_epochs * r["words"]]
-        for r in above or open_rows:
-            r["target"] = plan.most_epochs * r["words"] if above else each * r["weight"]
-        if not above:
+def draw(doc_id: Column, text: Column) -> Column:
+    """Where a document stands in its source: the first 60 bits of a hash of id and text."""
+    whole = F.concat_ws("|", F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("-")), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
+
+
+def targets(sizes: DataFrame, plan: Curriculum) -> DataFrame:
+    """sizes (source, words; a row per source) -> source, source_size, target, first, last.
+
+    Water-filling: a source's target is its weight times a level, `most_epochs` times its words at most. The level rises until
+    the targets are `budget` times all words; each step sums over all sources and adds those that the level has filled, so
+    it takes as many steps as resharing until none is above.
+    """
+    ordered = stash(sizes.orderBy(F.asc_nulls_last("source")).withColumn("_at", F.monotonically_increasing_id()), "sources")
+    parts = ordered.groupBy(F.shiftright("_at", 33).alias("_task")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task that has sources
+    firsts = parts.select("_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    ranked = ordered.withColumn("_task", F.shiftright("_at", 33)).join(firsts, "_task")
+    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+
+    def repeated(values: list[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.pmod(rank, F.lit(len(values))) + 1).cast("int"))
+
+    dim = ranked.select(
+        "source",
+        F.col("words").alias("source_size"),
+        repeated(list(plan.weights)).alias("weight"),
+        repeated([r[0] for r in plan.ramps]).alias("first"),
+        repeated([r[1] for r in plan.ramps]).alias("last"),
+        (F.col("words") * F.lit(float(plan.most_epochs))).alias("most"),
+    )
+    dim = stash(dim, "weights")
+    total = dim.agg(F.sum("source_size")).first()[0] or 0
+    level, full = -1.0, None
+    while full is None or level > full:
+        full = level
+        above = F.col("weight") * F.lit(full) > F.col("most")
+        row = dim.agg(F.sum(F.when(above, F.col("most"))).alias("filled"), F.sum(F.when(~above, F.col("weight"))).alias("open")).first()
+        if not row["open"]:
             break
-        rest -= sum(r["target"] for r in above)
-        open_rows = [r for r in open_rows if "target" not in r]
-    return rows
+        level = (plan.budget * total - (row["filled"] or 0.0)) / row["open"]
+    return dim.select("source", "source_size", F.when(above, F.col("most")).otherwise(F.col("weight") * F.lit(level)).alias("target"), "first", "last")
 
 
 def position(done: Column, first: Column, last: Column) -> Column:
@@ -75,34 +103,8 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     source of its own, sorted last; repeated rows are documents of their own; an empty table gives no rows. Documents
     without words take nothing and have as many copies as the whole passes over their source.
     """
-    spark = prepare(docs.sparkSession)
-    sized = stash(
-        docs.select(
-            F.col("doc_id"),
-            F.col("source"),
-            n_words(F.col("text")).alias("size"),
-            F.xxhash64(F.col("doc_id"), F.col("text")).alias("draw"),
-        ),
-        "sizes",
-    )
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()  # a row per source
-    rows = targets([(r["source"], r["words"]) for r in per_source], plan)
-    buckets = max(1, -(-max((r["n"] for r in per_source), default=1) // BUCKET_ROWS))
-    dim = spark.createDataFrame(
-        [(r["source"], r["words"], float(r["target"]), float(r["ramp"][0]), float(r["ramp"][1])) for r in rows],
-        "source string, source_size long, target double, first double, last double",
-    )
-    # Bucket = place of the hash among equal ranges, so buckets in order hold hashes in order.
-    bucket = F.floor((F.col("draw") / F.lit(2.0**64) + 0.5) * buckets).cast("long")
-    sized = sized.withColumn("bucket", F.least(bucket, F.lit(buckets - 1)))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    starts = starts.join(dim, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    within = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    laid = sized.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    laid = laid.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    a = F.col("base") + F.col("ahead")
+    laid = _laid(docs, plan)
+    a = F.col("base") + F.col("ahead") + F.col("nth") * F.col("size")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - passes * F.col("source_size")
     copies = passes + F.when(a + F.col("size") / 2 < rest, 1).otherwise(0)
@@ -122,9 +124,38 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
         F.when(copies > 0, place(F.lit(0))).alias("position"),
         F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), place)).alias("positions"),
         "draw",
+        "nth",
     )
 
 
+def _laid(docs: DataFrame, plan: Curriculum) -> DataFrame:
+    """doc_id, source, size, draw, nth (number among rows alike in all of these), base + ahead (words before the first of those), and the source's row."""
+    prepare(docs.sparkSession)
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text")).alias("draw"))
+    rows = stash(rows.groupBy("doc_id", "source", "size", "draw").agg(F.count("*").alias("n")), "sizes")
+    words = F.col("size") * F.col("n")
+    sources = stash(rows.groupBy("source").agg(F.sum(words).alias("words"), F.count("*").alias("rows")), "sums")
+    buckets = max(1, -(-(sources.agg(F.max("rows")).first()[0] or 1) // BUCKET_ROWS))
+    # Bucket = place of the hash among equal ranges, so buckets in order hold hashes in order.
+    bucket = F.floor(F.col("draw") / F.lit(2.0**60) * buckets).cast("long")
+    rows = rows.withColumn("bucket", F.least(bucket, F.lit(buckets - 1)))
+    sums = rows.groupBy("source", "bucket").agg(F.sum(words).alias("words")).withColumn("block", F.floor(F.col("bucket") / BLOCK).cast("long"))
+    sums = stash(sums, "buckets")
+
+    def ahead(value: str, by: list[str], *order: str) -> Column:
+        return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    blocks = sums.groupBy("source", "block").agg(F.sum("words").alias("words"))
+    blocks = blocks.select("source", "block", ahead("words", ["source"], "block").alias("_before"))
+    inner = sums.select("source", "block", "bucket", ahead("words", ["source", "block"], "bucket").alias("_inner"))
+    starts = inner.join(blocks, alike(inner, blocks, ["source", "block"])).select(inner["source"], "bucket", (F.col("_before") + F.col("_inner")).alias("base"))
+    dim = stash(targets(sources.select("source", "words"), plan), "targets")
+    starts = starts.join(dim, starts["source"].eqNullSafe(dim["source"])).drop(dim["source"])
+    placed = rows.withColumn("_words", words).withColumn("ahead", ahead("_words", ["source", "bucket"], "draw", "doc_id", "size"))
+    laid = placed.join(starts, alike(placed, starts, ["source", "bucket"])).drop(starts["source"], starts["bucket"])
+    return spread(laid, "n", "nth")
+
+
 def by_position(df: DataFrame, position: str = "position", draw: str = "draw") -> DataFrame:
     """Sorted by range of position. The hash parts equal positions, and the many nulls of what is not taken."""
     return df.repartitionByRange(position, draw).sortWithinPartitions(position, draw)
@@ -135,16 +166,14 @@ def mixed(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
 
     Rows alike in doc_id, text and source share out the places that mix() gave them. Columns besides are passed on.
     """
-    key = ["_id", "_draw", "_source"]
-    decided = mix(docs, plan).select(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"), F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("positions").alias("_positions"))
+    by = ["_id", "_draw", "_source", "_nth"]
+    decided = mix(docs, plan).select(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"), F.col("source").alias("_source"), F.col("nth").alias("_nth"), "copies", "positions")
     decided = stash(decided, "decided")
-    keyed = packed(docs, _doc_id=F.col("doc_id"), _text_hash=F.xxhash64("doc_id", "text"), _of=F.col("source"), _row=F.lit(1))
-    if decided.groupBy(*key).count().where("count > 1").isEmpty():
-        decided = decided.withColumn("_k", F.lit(1))
+    keyed = packed(docs, _id=F.col("doc_id"), _draw=draw(F.col("doc_id"), F.col("text")), _source=F.col("source"))
+    if decided.where("_nth > 0").isEmpty():
+        keyed = keyed.withColumn("_nth", F.lit(0).cast("long"))
     else:
-        decided = decided.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("_positions")))
-        keyed = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_doc_id", "_text_hash", "_of").orderBy(F.lit(0))))
-    decided = decided.where("_copies > 0")
-    on = keyed["_doc_id"].eqNullSafe(decided["_id"]) & (keyed["_text_hash"] == decided["_draw"]) & keyed["_of"].eqNullSafe(decided["_source"]) & (keyed["_row"] == decided["_k"])
-    out = keyed.join(decided, on).select("_doc", "_text_hash", F.explode("_positions").alias("_position"))
-    return unpacked(by_position(out, "_position", "_text_hash"), docs.columns)
+        keyed = numbered(keyed, by[:-1], "_nth")
+    decided = decided.where("copies > 0")
+    out = keyed.join(decided, alike(keyed, decided, by)).select("_doc", keyed["_draw"], F.explode("positions").alias("_position"))
+    return unpacked(by_position(out, "_position", "_draw"), docs.columns)

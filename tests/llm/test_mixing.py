@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import mixing
+from inkwell.llm import mixing, registry
 
 
 def water(sizes, weights=(3, 1, 2)):
@@ -103,3 +103,59 @@ def test_every_copy_has_a_place_of_its_own(spark, ramp):
         assert sum(p <= t for p in places) / len(places) == pytest.approx(first * t + (last - first) * t * t / 2, abs=0.01)
     order = [r.doc_id for r in mixing.mixed(df, plan).collect()]
     assert len(order) == 2000 and len(set(order[:800])) == len(set(order[800:1600])) == 800
+
+
+def test_default_positions_against_a_plain_loop(documents):
+    """At the default budget: every copy where its source's demand over all passes reaches the middle of it."""
+    rows = mixing.mix(documents).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    ramps = mixing.Curriculum().ramps
+    tenths, wanted = [0] * 10, [0.0] * 10
+    longest = max(r["size"] for r in rows)
+    for k, source in enumerate(sorted(by, key=lambda s: (s is None, s or ""))):
+        first, last = ramps[k % 3]
+        members = sorted(by[source], key=lambda r: r.draw)
+        total = sum(r["size"] for r in members)
+        share = lambda t: (first * t + (last - first) * t * t / 2) / ((first + last) / 2)
+        taken, target = 0, members[0].target
+        for number in range(2):
+            ahead = 0
+            for r in members:
+                if number < r.copies:
+                    done = min((number * total + ahead + r["size"] / 2) / target, 1.0)
+                    assert share(r.positions[number]) == pytest.approx(done, abs=1e-6)
+                    tenths[min(9, int(r.positions[number] * 10))] += r["size"]
+                    taken += r["size"]
+                ahead += r["size"]
+        wanted = [w + target * (share((t + 1) / 10) - share(t / 10)) for t, w in enumerate(wanted)]
+    assert all(abs(a - b) <= 2 * len(by) * longest for a, b in zip(tenths, wanted))
+
+
+def test_no_copy_stands_beside_itself(documents):
+    order = [r.doc_id for r in mixing.mixed(documents).collect()]
+    assert not any(a == b for a, b in zip(order, order[1:]))
+
+
+def test_the_same_row_very_often(spark):
+    """They are one row with a count until they are dealt out, each with places of its own."""
+    same = spark.range(25_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), F.col("id").alias("more"))
+    other = spark.range(1000).select((F.col("id") + 2).alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("t").alias("source"), F.lit(0).cast("long").alias("more"))
+    df = same.union(other)
+    rows = mixing.mix(df)
+    assert rows.count() == 26_000 and rows.where("doc_id = 1").select("nth").distinct().count() == 25_000
+    out = mixing.mixed(df)
+    assert out.count() == rows.agg(F.sum("copies")).first()[0]
+    assert out.where("doc_id = 1").select("more").distinct().count() == rows.where("doc_id = 1 and copies > 0").count()
+
+
+def test_targets_of_very_many_sources(spark):
+    sizes = {f"s{i}": (i * i * 37) % 1009 for i in range(2000)} | {None: 500}
+    df = spark.createDataFrame(list(sizes.items()), "source string, words long").repartition(7)
+    found = {r.source: r.target for r in mixing.targets(df, mixing.Curriculum()).collect()}
+    assert found == pytest.approx(water(sizes))
+
+
+def test_sql(spark, sf_dir, duck, same_rows):
+    same_rows(registry.op10_source_mixing(spark, sf_dir), duck.sql(registry.oracle_sql()["op10_source_mixing"]))
