@@ -7,10 +7,14 @@ where there is none the longest piece that fits is added (best fit) and the smal
 bounded list of (pattern, how many); pieces find their places in it by their rank among those of their length.
 Ranks come from counters kept while the pieces are made and a prefix sum over (partition, length) counts, so no
 length, however common, meets in one task.
+
+Where the order of documents counts, as after a curriculum, spans of consecutive documents are packed each by itself and
+sequences are numbered by span; a span ends in a sequence or two that are not full, which is what the order costs.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -18,16 +22,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import arrow_map, stash, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
+#: Consecutive documents that are packed together where their order counts, and the sequences that they may make.
+SPAN_ROWS, SPAN_SEQUENCES = 1 << 10, 1 << 22
+#: Bytes of text that a worker cuts at a time.
+CHUNK_BYTES = 4_000_000
 #: Words whose ids a worker remembers; more than that, and it starts again.
 CACHE_WORDS = 600_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long, span long"
 _tokenizers: dict[str, WordIds] = {}
 
 
@@ -48,15 +57,27 @@ class WordIds(dict):
     The tokenizer's normalizer and splitter never join what white space parts, so a text's ids are those of its
     words in a row; likewise those of a word are its stem's and those of the ASCII punctuation it ends in. A stem of
     letters alone is a single unit to the splitter and goes to the vocabulary's merges at once; any other word goes
-    the whole way.
+    the whole way. That is so for tokenizers with the parts in PARTS; with any other, `by_word` is false and texts go whole.
     """
 
+    # The normalizer and splitter of the tokenizer file whose texts can be taken word by word.
+    PARTS = (
+        [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+        [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    )
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
+        parts = json.loads(self.tokenizer.to_str())
+        found = [(parts[k] or {}).get(name) for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.by_word = found == list(self.PARTS) and parts["model"]["type"] == "BPE"
 
     def whole(self, word: bytes) -> bytes:
         return np.asarray(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -100,100 +121,177 @@ def word_ids(path: str) -> WordIds:
 
 def token_bytes(text: bytes | None, ids: WordIds) -> bytes:
     """All ids of a text and END_ID, as bytes."""
-    return b"".join(map(ids.__getitem__, (text or b"").split())) + END_ID.to_bytes(4, "little")
+    found = b"".join(map(ids.__getitem__, text.split())) if text and ids.by_word else ids.whole(text or b"")
+    return found + END_ID.to_bytes(4, "little")
+
+
+def _chunks(texts: list[bytes | None]) -> Iterator[range]:
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or b"") + 100
+        if size >= CHUNK_BYTES:
+            yield range(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield range(start, len(texts))
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, span: Column | None = None) -> DataFrame:
     """One row per piece of each document; null and empty texts are the single id END_ID.
 
-    local_rank counts the pieces of the same length made before by the same task.
+    local_rank counts the pieces of the same length made before by the same task; span is passed on.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, seen, part = word_ids(tokenizer_path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
-                texts = text_bytes(batch.column(1))
+        for batch in batches:
+            doc_ids, texts, spans = batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()
+            for chunk in _chunks(texts):
                 ids.trim()
                 rows: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                    data = token_bytes(text, ids)
+                for i in chunk:
+                    data = token_bytes(texts[i], ids)
                     for k, start in enumerate(range(0, len(data), 4 * capacity)):
                         part_of = data[start : start + 4 * capacity]
                         n = len(part_of) // 4
-                        rows.append((doc_id, k, start // 4, n, zlib.crc32(part_of), part, int(seen[n])))
+                        rows.append((doc_ids[i], k, start // 4, n, zlib.crc32(part_of), part, int(seen[n]), spans[i]))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE_TYPES)], _PIECE_NAMES)
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES)
+    span = F.lit(0) if span is None else span
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text", span.cast("long").alias("span")), cut, PIECES)
 
 
-_PIECE_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+_PIECE_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
 _PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
+def _moved(x: np.ndarray, by: int) -> np.ndarray:
+    """x with what stands at s at s + by."""
+    out = np.zeros_like(x)
+    if by < len(x):
+        out[by:] = x[: len(x) - by]
+    return out
+
+
 class SumIndex:
-    """Which lengths are left, and which sums of one, two or three of them fill a gap exactly."""
+    """Tables keyed by sum: how many single lengths, pairs and triples that the counts allow have that sum.
+
+    A length is once, twice or three times or more available; only when a count falls below one of these do the tables change,
+    by the combinations that need it, so that a sum's entry is above 0 just when a combination of it can be taken.
+    """
 
     def __init__(self, counts: np.ndarray):
+        size = len(counts)
         self.counts = counts
+        self.has = [counts >= k for k in (1, 2, 3)]  # once, twice, three times
+        one, two, three = (h.astype(np.int64) for h in self.has)
+        double = np.zeros(size, np.int64)
+        double[::2] = two[: len(double[::2])]
+        double[0] = 0
+        twice = np.zeros(size, np.int64)
+        twice[::2] = one[: len(twice[::2])]
+        self.pairs = (_product(one, one) - twice) // 2 + double
+        # Of all (x, y, z) in a row: three alike stand once, two alike three times, none alike six times.
+        alike3 = np.zeros(size, np.int64)
+        alike3[::3] = one[: len(alike3[::3])]
+        two_alike = _product(twice, one) - alike3
+        distinct = (_product(_product(one, one), one) - 3 * two_alike - alike3) // 6
+        triple = np.zeros(size, np.int64)
+        triple[::3] = three[: len(triple[::3])]
+        alike2 = np.zeros(size, np.int64)  # (x, x) with x twice available, and another
+        alike2[::2] = two[: len(alike2[::2])]
+        own = np.zeros(size, np.int64)
+        own[::3] = two[: len(own[::3])]
+        self.triples = distinct + _product(alike2, one) - own + triple
+
+    def take(self, length: int, times: int = 1) -> None:
+        before, after = int(self.counts[length]), int(self.counts[length]) - times
+        self.counts[length] = after
+        for k in (3, 2, 1):
+            if before >= k > after:
+                self._drop(length, k)
+
+    def _drop(self, x: int, k: int) -> None:
+        """Length x is no longer k times available."""
+        size = len(self.counts)
+        if k == 3:
+            self.has[2][x] = False
+            if 3 * x < size:
+                self.triples[3 * x] -= 1
+            return
+        others = self.has[0].copy()
+        others[x] = False
+        if k == 2:
+            self.has[1][x] = False
+            if 2 * x < size:
+                self.pairs[2 * x] -= 1
+                self.triples -= _moved(others.astype(np.int64), 2 * x)
+            return
+        self.has[0][x] = False
+        with_x = _moved(others.astype(np.int64), x)
+        self.triples -= _moved(self.pairs - with_x, x)
+        self.pairs -= with_x
+
+    def exact(self, gap: int) -> list[int] | None:
+        """One, two or three lengths that can be taken and sum to gap, with the longest possible first."""
+        if self.has[0][gap]:
+            return [gap]
+        if self.pairs[gap] > 0:
+            small = np.arange(1, gap // 2 + 1)
+            fits = self.has[0][small] & self.has[0][gap - small] & ((2 * small != gap) | self.has[1][small])
+            low = int(small[np.argmax(fits)])
+            return [gap - low, low]
+        if self.triples[gap] > 0:
+            x = np.arange(gap - 2, 0, -1)
+            left = gap - 2 * x  # of a pair (x, left) that makes up the rest beside x
+            with_x = (left > 0) & self.has[0][np.maximum(left, 0)] & (left != x)
+            beside = self.pairs[gap - x] - with_x - ((left == x) & self.has[1][x])
+            fits = self.has[0][x] & ((beside > 0) | (with_x & self.has[1][x]) | ((left == x) & self.has[2][x]))
+            top = int(x[np.argmax(fits)])
+            rest = gap - top
+            small = np.arange(1, rest // 2 + 1)
+            many = sum(h.astype(int) for h in self.has)
+            both = 2 * small == rest
+            fits = (many[small] >= 1 + (small == top) + both) & (many[rest - small] >= 1 + (rest - small == top) + both)
+            low = int(small[np.argmax(fits)])
+            return [top, rest - low, low]
+        return None
 
-    def enough(self, combo: list[int]) -> bool:
-        return all(self.counts[x] >= combo.count(x) for x in set(combo))
+    def longest(self, gap: int) -> int:
+        """The longest length that fits into gap; 0 if none does."""
+        fits = np.flatnonzero(self.has[0][1 : gap + 1])
+        return int(fits[-1]) + 1 if len(fits) else 0
 
-    def pair(self, gap: int, used: list[int]) -> list[int] | None:
-        half = np.arange(1, gap // 2 + 1)
-        for small in half[(self.counts[half] > 0) & (self.counts[gap - half] > 0)]:
-            if self.enough([*used, int(small), gap - int(small)]):
-                return [gap - int(small), int(small)]
-        return None
 
-    def exact(self, gap: int, used: list[int]) -> list[int] | None:
-        """One, two or three lengths that sum to gap, the longest first, available besides those used."""
-        if gap <= 0:
-            return []
-        if self.enough([*used, gap]):
-            return [gap]
-        if found := self.pair(gap, used):
-            return found
-        have = self.counts[:gap] > 0
-        if gap < 3 or not have.any():
-            return None
-        spectrum = np.fft.rfft(have.astype(float), 2 * gap)
-        two = np.fft.irfft(spectrum * spectrum, 2 * gap)[:gap] > 0.5
-        two[0] = False
-        third = np.flatnonzero(have)
-        third = third[(third > 0) & two[gap - third]]
-        for x in third[::-1][:64]:  # a miss here only sends the gap to best fit
-            if self.enough([*used, int(x)]) and (found := self.pair(gap - int(x), [*used, int(x)])):
-                return [int(x), *found]
-        return None
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of ways to make each sum of one of a and one of b, up to the largest sum in the tables."""
+    n = 2 * len(a)
+    return np.rint(np.fft.irfft(np.fft.rfft(a, n) * np.fft.rfft(b, n), n))[: len(a)].astype(np.int64)
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """counts[length] -> [(lengths of a sequence, how many such sequences)]; every piece is placed."""
     left = counts.astype(np.int64).copy()
+    left[0] = 0
     index, out = SumIndex(left), []
     for length in range(capacity, 0, -1):
         while left[length] > 0:
-            combo = [length]
-            while (gap := capacity - sum(combo)) > 0:
-                if found := index.exact(gap, combo):
-                    combo += found
+            combo, gap = [length], capacity - length
+            index.take(length)
+            while gap:
+                found = index.exact(gap) or [x for x in [index.longest(gap)] if x]
+                if not found:
                     break
-                fits = np.flatnonzero(left[1 : gap + 1] > 0) + 1
-                fits = [int(x) for x in fits[::-1][:8] if index.enough([*combo, int(x)])]
-                if not fits:
-                    rest = [int(x) for x in np.flatnonzero(left[1 : gap + 1] > 0) + 1 if index.enough([*combo, int(x)])]
-                    if not rest:
-                        break
-                    fits = [rest[-1]]
-                combo.append(fits[0])
+                for x in found:
+                    index.take(x)
+                combo += found
+                gap -= sum(found)
             lengths, uses = np.unique(combo, return_counts=True)
-            times = int((left[lengths] // uses).min())
-            left[lengths] -= times * uses
-            out.append((combo, times))
+            more = int((left[lengths] // uses).min())
+            for x, n in zip(lengths.tolist(), uses.tolist()):
+                index.take(x, n * more)
+            out.append((combo, 1 + more))
     return out
 
 
@@ -213,6 +311,16 @@ def places(packing: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     return {"key": (length << 48) + rank, "first": rank, "sequence": base, "offset": offset}
 
 
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+_PACKED_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
+
+
+def _placed(where: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces by length and rank."""
+    at = np.searchsorted(where["key"], (length << 48) + rank, "right") - 1
+    return where["sequence"][at] + rank - where["first"][at], where["offset"][at]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pack all documents into sequences of at most `capacity` tokens.
 
@@ -231,11 +339,39 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, rank = (b.column(i).to_numpy() for i in (3, 5))
-            at = np.searchsorted(where["key"], (length << 48) + rank, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(5)), pa.array(where["sequence"][at] + rank - where["first"][at]), pa.array(where["offset"][at])],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    return arrow_map(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            sequence, offset = _placed(where, b.column(3).to_numpy(), b.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], _PACKED_NAMES)
+
+    return arrow_map(ranked, place, _PACKED)
+
+
+def in_order(docs: DataFrame) -> Column:
+    """The span of each row, for pack_in_order(): SPAN_ROWS rows of a Parquet file, by its part number, or of a partition."""
+    try:
+        name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        docs.select(name, row).schema  # noqa: B018  resolves the columns
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return F.shiftleft(F.shiftright(at, 33), 20) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / SPAN_ROWS).cast("long")
+    part = F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) as long)"), F.lit(0))
+    return F.shiftleft(part, 20) + F.floor(row / SPAN_ROWS).cast("long")
+
+
+def pack_in_order(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+    """pack(), with sequences numbered in the order of documents: a row of one span is in a sequence before any of a later span.
+
+    The order is that of the part files of a Parquet folder and of the rows in them; of other DataFrames that of their partitions.
+    A span has SPAN_ROWS documents at most, which are planned and placed in one task without their texts.
+    """
+    made = pieces(docs, tokenizer_path, capacity, in_order(docs))
+
+    def place(span: pa.Table) -> pa.Table:
+        span = span.sort_by([("length", "ascending"), ("part", "ascending"), ("local_rank", "ascending")])
+        length = span["length"].to_numpy()
+        counts = np.bincount(length, minlength=capacity + 1)
+        rank = np.arange(len(length)) - (np.cumsum(counts) - counts)[length]
+        sequence, offset = _placed(places(plan(counts, capacity)), length, rank)
+        sequence = span["span"].to_numpy() * SPAN_SEQUENCES + sequence
+        return pa.table([*(span[c] for c in _PACKED_NAMES[:5]), pa.array(sequence), pa.array(offset)], _PACKED_NAMES)
+
+    return made.groupBy("span").applyInArrow(place, _PACKED)
