@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import arrow_map, text_bytes
 
-#: Bounds of the sample: documents of each language, characters and words of a document that may be in it.
-SAMPLE_DOCS, SAMPLE_CHARS = 150, 20_000
+#: Bounds of the sample: documents of each language, characters of a document, languages.
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 150, 20_000, 200
 DIMS = 1 << 16
 GRAMS = (2, 3, 4)
 LEXICON = 200
@@ -247,12 +247,22 @@ def predicted(texts: list[bytes | None], known: Emissions | None) -> list[tuple[
 
 
 def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
-    """At most SAMPLE_DOCS documents of each language that may be learned from, chosen by hash."""
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS) & (F.char_length("text") > 0))
-    by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= SAMPLE_DOCS).select("doc_id").distinct()
-    rows = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "doc_id", "text").collect()  # SAMPLE_DOCS * languages at most
-    return [(r["text"].encode(), r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"]))]
+    """At most SAMPLE_DOCS rows of each language that may be learned from, chosen by hash of id and text, and of LANGUAGES languages.
+
+    Rows alike in id, language and text count as one. A language all of whose texts are longer than SAMPLE_CHARS gives a
+    span of that many characters of each chosen text. If there are more languages than LANGUAGES, those with the most rows count.
+    """
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.char_length("text") > 0))
+    chosen = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    # Texts stay where they are until rows are chosen: what is ranked are hashes.
+    keyed = usable.join(F.broadcast(chosen), "lang", "left_semi")  # LANGUAGES rows at most
+    ranked = keyed.select("lang", (F.char_length("text") > SAMPLE_CHARS).alias("_long"), F.xxhash64("doc_id", "text").alias("_h")).distinct()
+    ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_long", "_h"))).where(F.col("_n") <= SAMPLE_DOCS)
+    wanted = ranked.select("lang", "_h")  # SAMPLE_DOCS * LANGUAGES rows at most
+    found = keyed.select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("_h")).join(F.broadcast(wanted), ["lang", "_h"])
+    found = found.select("lang", "doc_id", "_h", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
+    rows = found.groupBy("lang", "_h").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("lang", "_h", "r.text").collect()
+    return [(r["text"].encode(), r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["_h"]))]
 
 
 def identified(docs: DataFrame, model: Field | None = None) -> DataFrame:
@@ -267,7 +277,7 @@ def identified(docs: DataFrame, model: Field | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Emissions(model) if model else None
         for whole in batches:
-            for at in range(0, len(whole), 2000):
+            for at in range(0, len(whole), 2000):  # predicted() works in steps of CHUNK_BYTES
                 b = whole.slice(at, 2000)
                 lang, score = zip(*predicted(text_bytes(b.column(2)), known))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
