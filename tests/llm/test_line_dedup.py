@@ -94,3 +94,16 @@ def test_one_variant_that_very_many_lines_share(spark):
 
 def test_sql(spark, sf_dir, duck, same_rows):
     same_rows(registry.op1_line_dedup(spark, sf_dir), duck.sql(registry.oracle_sql()["op1_line_dedup"]))
+
+
+def test_one_document_of_very_many_lines(spark):
+    lines = [f"line number {k % 150_000} of a very long document" for k in range(200_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "other words")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in ld.deduplicated(df, least=20).collect()}
+    assert out == {1: "\n".join(lines[:150_000]), 2: "other words"}
+
+
+def test_the_least_number_of_words_is_a_parameter(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "a b x d e"), (3, "a b"), (4, "a c")], "doc_id long, text string")
+    assert {r.doc_id for r in ld.deduplicated(df, least=5).collect()} == {1, 3, 4}
+    assert ld.deduplicated(df).count() == 4
