@@ -6,7 +6,8 @@ another document is an anchor. Windows of 50 around anchors are the only ones th
 they do by comparing their whole hashes across documents, and the union of those found earlier is the maximal repeats.
 
 Probes are sent to the index in packed form, some 5 bytes each, by hash range: a bucket's blocks come first and are
-kept with only their smallest and largest document, then probes stream past. So a passage that very many documents share costs no pairs
+kept with only their smallest and largest document, then probes stream past. There are as many buckets as the
+bytes of all texts ask for, so that an index fits a worker and hits by accident stay rare at any size. So a passage that very many documents share costs no pairs
 and no memory. Exact copies are settled by the digest of the text and neither index nor probe.
 """
 
@@ -30,6 +31,8 @@ NULL = LAST - (1 << 24)
 #: Bytes of text that a worker hashes at a time, words whose hashes it remembers.
 CHUNK_BYTES = 3_000_000
 CACHE_WORDS = 300_000
+#: Bytes of text whose blocks one bucket indexes at most: some 7 million blocks, a 600th of the hashes that a bucket tells apart.
+BUCKET_BYTES = 1 << 29
 _BASE = 0x9E3779B97F4A7C15
 
 PACKED = "bucket int, kind int, ids binary, counts binary, places binary, hashes binary"
@@ -285,7 +288,8 @@ def removed(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> Da
     Other columns are not read. Texts cross the network once: the exchange by doc_id is used again by every join.
     """
     spark = prepare(docs.sparkSession)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     null = F.lit(NULL) + F.pmod(F.xxhash64("text"), F.lit(LAST - NULL))
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), null).alias("_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("_md5"))
     dealt = base.repartition(buckets, "_id")
