@@ -248,11 +248,12 @@ def warc_record(row: tuple, refers: tuple[str, str] | None) -> bytes:
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_REVISIT) -> None:
     """Convert a folder of ARC files to one of WARC files, gzipped, a file for a file.
 
-    The first pass reads what decides a record's type, not payloads. What is decided is written and goes to the files by
+    The first of two passes over the archives writes what decides a record's type, not payloads. What is decided is written and goes to the files by
     name: by broadcast if what was written is below Spark's limit for that, so that files stay where they are, else by a
     join that moves compressed files. A file's decisions are as many as its records.
     """
-    revisits = typed(arc_records(spark, arc_path, with_payload=False), least).where("refers_id is not null")
+    records = stash(arc_records(spark, arc_path, with_payload=False), "records")
+    revisits = typed(records, least).where("refers_id is not null")
     decided = stash(revisits.groupBy(F.col("name").alias("_name")).agg(F.collect_list(F.struct("place", "refers_id", "refers_url")).alias("decided")), "decided")
     files = _files(spark, arc_path)
     joined = files.join(decided, files["name"] == decided["_name"], "left").select("name", "content", "decided")
