@@ -17,9 +17,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, text_bytes
+from .common import arrow_map, stash, text_bytes
 
 RATE = 16_000
 #: Resampling by UP / DOWN, with TAPS filter taps for each of the UP phases.
@@ -155,29 +156,68 @@ def described(media: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 500):
                 rows = []
-                for doc_id, n, file in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns)):
+                for doc_id, n, file in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns)):  # the files are read already; a row adds 2 KB
                     samples, rate = from_wav(file)
                     f = features(samples, rate)
                     rows.append((doc_id, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(file), hashlib.sha256(file).hexdigest(), f["feature"], f["tensor"], f["duration"], f["segments"]))
                 columns = [*zip(*rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
-    return arrow_map(media, run, FEATURES)
+    out = arrow_map(media, run, FEATURES)
+    return out.withMetadata("tensor", SHAPE)
 
 
+#: What the stored schema says of the tensor column.
+SHAPE = {"shape": [STEPS, MELS], "dim_names": ["time", "mel"], "value_type": "float32"}
+
 _SPAN = pa.struct([("start", pa.float64()), ("end", pa.float64())])
 _NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensor", "duration", "segments"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float32()), pa.float64(), pa.list_(_SPAN)]
 
 
 def audio_features(docs: DataFrame, rate: int = RATE) -> DataFrame:
-    """One row per document: its text stored as audio, read back and described. An empty table gives no rows."""
+    """One row per document: its text stored as audio, read back and described.
+
+    Null and empty texts are files of UNIT bytes of PAD. Ids, null or not, are passed on; repeated rows are described each, alike;
+    an empty table gives no rows; columns besides doc_id and text are not read. The tensor column's schema states its shape.
+    """
     return described(encoded(docs, rate))
 
 
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (STEPS, MELS), dim_names=("time", "mel"))
+
+
 def as_tensors(table: pa.Table) -> pa.Table:
-    """The tensor column of described(), collected or read as Arrow, as an Arrow fixed-shape tensor of STEPS x MELS."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (STEPS, MELS), dim_names=("time", "mel"))
+    """The tensor column of described(), as Arrow, as an Arrow fixed-shape tensor of STEPS x MELS."""
     flat = table["tensor"].combine_chunks()
     storage = pa.FixedSizeListArray.from_arrays(flat.flatten() if len(flat) else pa.array([], pa.float32()), STEPS * MELS)
-    return table.set_column(table.schema.get_field_index("tensor"), "tensor", pa.ExtensionArray.from_storage(kind, storage))
+    return table.set_column(table.schema.get_field_index("tensor"), "tensor", pa.ExtensionArray.from_storage(TENSOR, storage))
+
+
+def write_tensors(described: DataFrame, path: str) -> DataFrame:
+    """Stores doc_id, tensor (an Arrow fixed-shape tensor), duration and segments as Parquet files in a shared folder, by the workers.
+
+    path is any that pyarrow opens by URI. A task writes its file under a name of its own and then gives it the partition's, so one that runs
+    again replaces it by the same rows. Returns a row per file, file and rows, after all are written.
+    """
+    columns = ["doc_id", "tensor", "duration", "segments"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        task = TaskContext.get()
+        system, base = fs.FileSystem.from_uri(path)
+        system.create_dir(base, recursive=True)
+        name, own = f"{base}/part-{task.partitionId():05d}.parquet", f"{base}/_task-{task.taskAttemptId()}"
+        writer, rows = None, 0
+        for b in batches:
+            table = as_tensors(pa.Table.from_batches([b]))
+            writer = writer or parquet.ParquetWriter(own, table.schema, filesystem=system)
+            writer.write_table(table)
+            rows += len(b)
+        if writer:
+            writer.close()
+            system.move(own, name)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows])], ["file", "rows"])
+
+    return stash(arrow_map(described.select(*columns), run, "file string, rows long"), "files")
