@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkwell.llm import jaccard, line_dedup, mixing, packing, quality
+from inkwell.llm import line_dedup, mixing, packing, quality, similar
 from inkwell.llm.common import prepare, stash, table
 from inkwell.llm.registry import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: of those that links of a five-word Jaccard of 0.8 or more connect."""
-    return jaccard.deduplicated(docs)
+    """One document of each group of near copies stays: of those that links of a five-word Jaccard of 0.8 or more connect,
+    found by SimHash."""
+    return similar.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path())
+    """The pieces of documents, packed span by span, so that sequences in order of their number follow the order of training."""
+    return packing.pack_in_order(docs, tokenizer_path())
 
 
 STAGES = [

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import NOT_WORD, packed
+from .common import NOT_WORD, packed, unpacked
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -38,8 +38,7 @@ RULES = (
 )
 
 
-
-#: Columns that judged() adds; columns of docs of the same name give way.
+#: Columns that base() and judged() add; columns of docs of the same name give way. accepted() adds none and keeps all.
 MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "base_failed", "kept")
 
 
@@ -47,8 +46,8 @@ def _is_stop_word(word: Column) -> Column:
     return word.isin([x for w in sorted(set(STOP_WORDS)) for x in (w, w[0].upper() + w[1:], f"{w},", f"{w}.")])
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """docs and the counts that rules are made of: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words.
+def _counted(docs: DataFrame) -> DataFrame:
+    """_doc, a struct of docs' columns, and the counts that rules are made of.
 
     Words that lie in a three-word window found twice or more in the text are counted by sorting windows' hashes with their
     places: equal ones are then neighbours, and a word counts when its nearest such window begins at most two words before.
@@ -94,9 +93,18 @@ def base(docs: DataFrame) -> DataFrame:
         F.col("_stop").cast("long").alias("n_stop_words"),
     )
     # An array of one, exploded: a filter on the counts is then not pushed below them, where all would be worked out again.
-    out = step.select("_doc", F.explode(F.array(counts)).alias("_counts"))
+    return step.select("_doc", F.explode(F.array(counts)).alias("_counts")).select("_doc", "_counts.*")
+
+
+def base(docs: DataFrame) -> DataFrame:
+    """docs and their counts: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words.
+
+    A null or empty text has none of anything; repeated rows are counted each; an empty table gives no rows. A column of docs
+    that has the name of one in MADE, in any case of letters, is left out.
+    """
     own = [c for c in docs.columns if c.lower() not in MADE]
-    return out.select(*[F.col("_doc").getField(c).alias(c) for c in own], "_counts.*")
+    counts = [c for c in MADE if c not in ("base_failed", "kept")]
+    return _counted(docs).select(*[F.col("_doc").getField(c).alias(c) for c in own], *counts)
 
 
 def measures() -> dict[str, Column]:
@@ -125,6 +133,14 @@ BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the counts, base_failed and kept. A null or empty text has no words and fails; repeated rows are judged alike."""
+    """base() with base_failed and kept. A text without words fails; repeated rows are judged alike; an empty table gives no rows.
+
+    Columns of docs named as one in MADE give way.
+    """
     failed = F.expr(BASE_FAILED)
     return base(docs).withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
+
+
+def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that judged() keeps, with docs' columns and values, whatever their names."""
+    return unpacked(_counted(docs).where(~F.expr(BASE_FAILED) & verdict(rules)), docs.columns)

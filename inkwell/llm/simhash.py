@@ -111,17 +111,23 @@ def ball(width: int, radius: int) -> int:
     return size if radius >= 0 else 0
 
 
-def thresholds(costs: list[list[float]], distance: int = DISTANCE) -> tuple[float, list[int]]:
-    """costs[i][t + 1] of partition i at threshold t (from -1) -> the least total and its thresholds, whose t + 1 sum to distance + 1."""
+def allocated(costs: list[list[float]], gains: list[list[int]], need: int) -> tuple[float, list[int]] | None:
+    """costs[i][t + 1], gains[i][t + 1] of partition i at threshold t (from -1) -> the least total cost whose gains reach need, and its thresholds."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for row in costs:
+    for row, gain in zip(costs, gains):
         step: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, chosen) in best.items():
-            for more, extra in enumerate(row):
-                if used + more <= distance + 1 and (used + more not in step or cost + extra < step[used + more][0]):
-                    step[used + more] = (cost + extra, [*chosen, more - 1])
+            for t, (extra, more) in enumerate(zip(row, gain), -1):
+                reached = min(need, used + more)
+                if reached not in step or cost + extra < step[reached][0]:
+                    step[reached] = (cost + extra, [*chosen, t])
         best = step
-    return best[distance + 1]
+    return best.get(need)
+
+
+def thresholds(costs: list[list[float]], distance: int = DISTANCE) -> tuple[float, list[int]]:
+    """The cheapest thresholds t whose t + 1 sum to distance + 1, by the pigeonhole principle enough for every pair within it."""
+    return allocated(costs, [list(range(len(row))) for row in costs], distance + 1)
 
 
 def scheme(fps: DataFrame, distance: int = DISTANCE) -> list[tuple[int, list[int], int]]:

@@ -1,13 +1,17 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkwell.llm import packing
+from inkwell.llm import mixing, packing
+from inkwell.llm.common import stash
+from inkwell.llm.quality import MADE
 from inkwell.llm.registry import oracle_sql, queries, tokenizer_path
+from tests.llm.conftest import CLASHES
 from tests.llm.test_line_dedup import expected as slow_lines
 from tests.llm.test_quality import counts
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_similar import slow_roots
 
 
 def kept_by_rules(text):
@@ -24,8 +28,6 @@ def kept_by_rules(text):
 
 def test_stages_against_plain_python(spark, sf_dir):
     """Each stage on what the one before kept; the mix is held to its sizes in its own tests, and taken over here."""
-    from inkwell.llm.common import stash
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
     rows = {r.doc_id: r.text for r in docs.collect()}
@@ -42,12 +44,8 @@ def test_stages_against_plain_python(spark, sf_dir):
     assert all(r.n_chars == len(r.text) for r in docs.collect())
 
     docs = stash(stages["simhash_near_dedup"](spark, docs, sf_dir), "c")
-    roots = slow_components([slow_fingerprint(t) for t in rows.values()])
-    best = {}
-    for i, t in rows.items():
-        r = roots[slow_fingerprint(t)]
-        best[r] = min(best.get(r, i), i)
-    rows = {i: rows[i] for i in best.values()}
+    roots = slow_roots(list(rows.items()))
+    rows = {i: t for i, t in rows.items() if roots[i] == i}
     assert docs.columns == columns and {r.doc_id: r.text for r in docs.collect()} == rows
 
     docs = stash(stages["source_mixing"](spark, docs, sf_dir), "d")
@@ -82,6 +80,32 @@ def test_on_odd_documents(spark, odd):
         docs = stage(spark, docs, "")
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == odd.columns
+            assert all(r[c] == f"own {c}" for r in docs.collect() for c in CLASHES if c != "n_chars")
+
+
+def test_values_of_clashing_columns_stay(spark, documents):
+    """Every column that a stage makes on its way exists already, with values of its own."""
+    names = [*CLASHES, *MADE, "copies", "positions", "nth", "source_size", "target", "_nth", "_draw", "_position", "_at", "span", "node", "sig", "key", "root"]
+    docs = documents.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in dict.fromkeys(names)})
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stash(stage(spark, docs, ""), "stage")
+        rows = docs.collect()
+        assert rows and docs.columns == columns and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in names)
+
+
+def test_sequences_follow_the_positions_of_training(spark, documents, monkeypatch):
+    monkeypatch.setattr(packing, "SPAN_ROWS", 20)
+    docs = stash(mixing.mixed(documents), "mix")
+    place = {}
+    for k, r in enumerate(docs.orderBy("_metadata.file_name", "_metadata.row_index").collect()):
+        place.setdefault(r.doc_id, []).append(k)
+    rows = dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, "").where("piece = 0").collect()
+    ranks = {s: k for k, s in enumerate(sorted({r.sequence_id for r in rows}))}
+    rows = [r for r in rows if len(place[r.doc_id]) == 1]
+    x = [place[r.doc_id][0] for r in rows]
+    y = [ranks[r.sequence_id] for r in rows]
+    assert np.corrcoef(x, y)[0, 1] > 0.6
 
 
 def test_registered():
