@@ -56,6 +56,7 @@ def file_size(n: Column) -> Column:
 
 def truncated(x: Column, most: int = MOST_AI_CHARS) -> Column:
     """Longer texts become their prefix and a note, which makes them longer than `most`."""
+    # Fixed value: the note.
     note = f"\n\n…[Content truncated at {most:,} characters. The full text is stored but only this portion was sent to the AI.]"
     return F.when(F.length(x) <= most, x).otherwise(F.concat(F.left(x, F.lit(most)), F.lit(note)))
 
@@ -93,6 +94,10 @@ def date_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
+def datetime_text(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
 def percent(n: Column) -> Column:
     return F.concat(n.cast("string"), F.lit("%"))
 
@@ -107,16 +112,18 @@ def storage_key(user: Column, project: Column, millis: Column, name: Column) ->
     return F.concat(user, F.lit("/"), project, F.lit("/"), millis.cast("string"), F.lit("_"), name)
 
 
+# What of a slide's XML is replaced by what, in this order; the ampersand comes before what it may begin.
+SLIDE_TEXT = (("<a:t>", " "), ("</a:t>", " "), ("<a:br/>", "\n"))
+SLIDE_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&apos;", "'"), ("&quot;", '"'), ("&#xD;", "\n"))
+
+
 def slide_text(xml: Column) -> Column:
-    """The text of a slide's XML. The order of the steps is part of the rule: the ampersand is decoded before what it may begin."""
-    # What is replaced by what, in this order.
-    steps = (("<a:t>", " "), ("</a:t>", " "), ("<a:br/>", "\n"))
-    entities = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&apos;", "'"), ("&quot;", '"'), ("&#xD;", "\n"))
+    """The text of a slide's XML."""
     out = xml
-    for a, b in steps:
+    for a, b in SLIDE_TEXT:
         out = F.replace(out, F.lit(a), F.lit(b))
     out = F.regexp_replace(out, "<[^>]+>", "")
-    for a, b in entities:
+    for a, b in SLIDE_ENTITIES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return trimmed(F.regexp_replace(out, SPACE + "{2,}", " "))
 

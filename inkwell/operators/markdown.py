@@ -23,7 +23,7 @@ BULLET = re.compile(rf"[*\-+]{_S}+")
 NUMBER = re.compile(rf"[0-9]+\.{_S}+")
 MARKER = re.compile(r"#{1,3}|[*\-+]|[0-9]+\.|>|```|---|___|\*\*\*")
 FENCE, QUOTE = "```", "> "
-#: Inline marks: bold, italic, code, strike-through; Java's and Python's syntax alike.
+# Fixed value: inline marks; bold, italic, code, strike-through; Java's and Python's syntax alike.
 INLINE = r"(\*\*(.+?)\*\*|\*(.+?)\*|`(.+?)`|~~(.+?)~~)"
 _INLINE = re.compile(INLINE)
 KINDS = ("", "", "bold", "italic", "code", "strike")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema, sinks
 from ..functions import dimensions as dim, text as tx
+from ..providers import OfflineStub
 from ..operators import ingest, markdown as md, prompts, workspace as ws
 from ..schema import load
 from ..sources import files
@@ -425,17 +426,61 @@ def inline_spans(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", md.marked(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n"), F.array_join("s", "|").alias("spans"))
 
 
-@query("""WITH p AS (SELECT * FROM part WHERE p_partkey % 2 = 0)
-SELECT p_partkey, unnest([0, 1, 2, 3, 4, 5]) AS pos, unnest(['heading', 'bullets', 'numbers', 'quote', 'spacer', 'paragraph']) AS kind, unnest([p_size % 3 + 1, 0, 0, 0, 0, 0]) AS level,
-unnest([p_name, p_brand || '|' || p_type, p_type, p_name, '', p_brand || ' ' || p_name]) AS items FROM p""")
+@query("""SELECT p_partkey, unnest([0, 1, 2, 3, 4, 5]) AS pos, unnest(['heading', 'bullets', 'numbers', 'quote', 'spacer', 'paragraph']) AS kind, unnest([p_size % 3 + 1, 0, 0, 0, 0, 0]) AS level,
+unnest([p_name, p_brand || '|' || p_type, p_type, p_name, '', p_brand || ' ' || p_name]) AS items FROM part""")
 def markdown_blocks(spark, sf_dir):
     line = lambda *cols: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in cols])
     c = F.col
     text = F.concat_ws("\n", line(F.repeat(F.lit("#"), c("p_size") % 3 + 1), " ", c("p_name")), line("- ", c("p_brand")), line("* ", c("p_type")), line("12. ", c("p_type")), line("> ", c("p_name")), F.lit(""), c("p_brand"), c("p_name"))
-    made = md.with_blocks(load(spark, sf_dir, "part").where("p_partkey % 2 = 0").select("p_partkey", text.alias("text")), "text")
+    made = md.with_blocks(load(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "text")
     return made.select("p_partkey", "pos", "kind", "level", F.array_join("items", "|").alias("items"))
 
 
+@query("""SELECT p_partkey, unnest([0, 1, 2, 3]) AS pos, unnest(['code', 'rule', 'paragraph', 'code']) AS kind, unnest([0, 0, 0, 0]) AS level,
+unnest([p_name || chr(10) || '# ' || p_brand, '', p_type, '- open']) AS items FROM part""")
+def markdown_rules(spark, sf_dir):
+    """Fenced code to its fence or the end, a rule, and lines that look like a marker but are none, which are dropped."""
+    c = F.col
+    lines = (F.lit("```sql"), c("p_name"), F.concat(F.lit("# "), c("p_brand")), F.lit("```"), F.lit(" *** "), F.concat(F.lit("#### "), c("p_name")), F.concat(F.lit("**"), c("p_brand"), F.lit("**")), c("p_type"), F.lit("```"), F.lit("- open"))
+    made = md.with_blocks(load(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\n", *lines).alias("text")), "text")
+    return made.select("p_partkey", "pos", "kind", "level", F.array_join("items", "|").alias("items"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime_text FROM events")
+def datetime_label(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", tx.datetime_text(F.col("ts")).alias("datetime_text"))
+
+
+def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as uploaded files: texts with a byte-order mark, every seventh of an unknown kind, every eleventh too large."""
+    c = F.col
+    name = F.concat(F.lit("f/doc"), c("doc_id").cast("string"), F.when(c("doc_id") % 7 == 0, ".XYZ").otherwise(".TXT"))
+    size = F.when(c("doc_id") % 11 == 0, F.lit(20971521)).otherwise(F.octet_length("text")).cast("long")
+    content = F.concat(F.unhex(F.lit("EFBBBF")), c("text").cast("binary"))
+    return files.entries(load(spark, sf_dir, "documents").select(name.alias("path"), size.alias("length"), content.alias("content")))
+
+
+_FILES = """f AS (SELECT 'doc' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.XYZ' ELSE '.TXT' END AS name, text,
+CASE WHEN doc_id % 11 = 0 THEN 'File is too large (20.0 MB). Maximum allowed size is 20 MB. Please compress or split the file.'
+WHEN doc_id % 7 = 0 THEN 'Unsupported file type ".xyz". Supported formats: pdf, docx, pptx, txt.' END AS error FROM documents)"""
+
+
+@query(f"WITH {_FILES} SELECT sha256('f/' || name) AS id, name, CASE WHEN error IS NULL THEN md5(text) END AS text_md5, error FROM f")
+def extracted_texts(spark, sf_dir):
+    """Each file has a text or an error; the byte-order mark is no part of the text."""
+    return files.extracted(_text_files(spark, sf_dir)).select("id", "name", F.md5("text").alias("text_md5"), "error")
+
+
+@query(f"""WITH {_FILES}, c AS (SELECT *, CASE WHEN length(text) <= 12000 THEN text ELSE left(text, 12000) || {_NOTE} END AS content FROM f)
+SELECT name, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END AS status, error AS error_msg, CASE WHEN error IS NULL THEN md5(content) END AS content_md5,
+CASE WHEN error IS NULL THEN '[offline stub] ' || left(sha256({_quoted(prompts.SUMMARY_PROMPT[0])} || content || {_quoted(prompts.SUMMARY_PROMPT[1])}), 16) END AS summary,
+'p' AS project_id, 'u' AS user_id FROM c""")
+def file_status(spark, sf_dir):
+    """Files through extraction, the cap and a provider (the stub, which is no model): one that fails stops no other."""
+    done = ingest.processed(_text_files(spark, sf_dir), OfflineStub(), "u", "p")
+    return done.select("name", "status", "error_msg", F.md5("content").alias("content_md5"), "summary", "project_id", "user_id")
+
+
 @query("SELECT user_id AS id, event_id AS seq, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def upsert_by_id(spark, sf_dir):
     return ws.upserted(load(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type", "value"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,14 +16,32 @@ from .schema import CHAT_MESSAGES, DOCUMENTS, PROJECTS
 
 
 def _appended(rows: DataFrame, schema, path: str, partition_by: tuple[str, ...] = (), mode: str = "append") -> DataFrame:
-    """Write rows in the table's shape; returns what was written, read from the table's own types."""
-    now = F.current_timestamp()
+    """Write rows in the table's shape and return them as written.
+
+    They are worked out once, to a folder beside the table's files that its readers do not see and that goes when the driver
+    ends; what is returned is read from there, so times and ids are the table's and no model is called again.
+    """
+    spark, now = rows.sparkSession, F.lit(datetime.now(timezone.utc))
     given = {f.name: F.col(f.name).cast(f.dataType) if f.name in rows.columns else (F.uuid() if f.name == "id" else now if f.name == "created_at" else F.lit(None).cast(f.dataType)) for f in schema}
-    out = rows.select(*[c.alias(n) for n, c in given.items()])
+    staged = f"{path.rstrip('/')}-staged/{uuid.uuid4().hex}"
+    rows.select(*[c.alias(n) for n, c in given.items()]).write.parquet(staged)
+    atexit.register(_remove, spark, staged)
+    out = spark.read.schema(schema).parquet(staged)
     out.write.mode(mode).partitionBy(*partition_by).parquet(path)
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None:  # the session was stopped before
+        return
+    try:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone at exit
+        return
+
+
 def append_documents(rows: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Partitioned by project, so that a project's documents are read by themselves."""
     return _appended(rows, DOCUMENTS, path, ("project_id",), mode)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators.markdown import WEB_SPACE
+from . import pdf
 
 # Formats, and what users are told.
 SUPPORTED = ("pdf", "docx", "pptx", "txt")
@@ -35,9 +36,6 @@ ERRORS = {
     "pdf unreadable": "This PDF uses features that the built-in reader does not know.",
 }
 SLIDE = re.compile(r"ppt/slides/slide[0-9]+\.xml", re.IGNORECASE)
-# What of a slide's XML is replaced by what, in this order; the ampersand comes before what it may begin.
-SLIDE_TEXT = (("<a:t>", " "), ("</a:t>", " "), ("<a:br/>", "\n"))
-SLIDE_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&apos;", "'"), ("&quot;", '"'), ("&#xD;", "\n"))
 
 
 class ExtractionError(ValueError):
@@ -94,10 +92,10 @@ def decoded(content: Column) -> Column:
 
 
 def slide_text(xml: str) -> str:
-    for a, b in SLIDE_TEXT:
+    for a, b in tx.SLIDE_TEXT:
         xml = xml.replace(a, b)
     xml = re.sub("<[^>]+>", "", xml)
-    for a, b in SLIDE_ENTITIES:
+    for a, b in tx.SLIDE_ENTITIES:
         xml = xml.replace(a, b)
     return re.sub(f"[{WEB_SPACE}]{{2,}}", " ", xml).strip(WEB_SPACE)
 
@@ -124,86 +122,51 @@ def pptx_text(data: bytes) -> str:
 
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_CHOICE = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+_MARKS = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n"}
+
+
+def _paragraph(node: ElementTree.Element, inner: list[str]) -> str:
+    """The node's own text; paragraphs within it, as in text boxes, go to inner. Of alternatives one is read, the fallback if there is one."""
+    text = []
+    for e in node:
+        if e.tag == f"{_WORD}p":
+            own: list[str] = []
+            inner.append(_paragraph(e, own))
+            inner += own
+        elif e.tag == f"{_WORD}t":
+            text.append(e.text or "")
+        elif e.tag in _MARKS:
+            text.append(_MARKS[e.tag])
+        elif e.tag == f"{_CHOICE}AlternateContent":
+            chosen = e.find(f"{_CHOICE}Fallback")
+            chosen = e.find(f"{_CHOICE}Choice") if chosen is None else chosen
+            if chosen is not None:
+                text.append(_paragraph(chosen, inner))
+        else:
+            text.append(_paragraph(e, inner))
+    return "".join(text)
 
 
 def docx_text(data: bytes) -> str:
-    """The paragraphs' text, a blank line after each; tabs and breaks as such."""
+    """The paragraphs' text, a blank line after each, those of a text box after the one that holds it; tabs and breaks as such."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         root = ElementTree.fromstring(archive.read("word/document.xml"))
-    marks = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n"}
-    paragraphs = []
-    for p in root.iter(f"{_WORD}p"):
-        paragraphs.append("".join(e.text or "" if e.tag == f"{_WORD}t" else marks.get(e.tag, "") for e in p.iter()))
+    paragraphs: list[str] = []
+    _paragraph(root, paragraphs)
     text = "\n\n".join(paragraphs).strip(WEB_SPACE)
     if not text:
         raise ExtractionError(ERRORS["docx"])
     return text
 
 
-_PDF_STRING = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>", re.S)
-_PDF_SHOW = re.compile(rb"(\[(?:[^\]\\()]|\\.|\((?:[^()\\]|\\.)*\))*\]|\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)\s*(?:TJ|Tj|'|\")", re.S)
-_PDF_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _pdf_string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-
-        def plain(m: re.Match) -> bytes:
-            c = m[1]
-            if c.isdigit():
-                return bytes([int(c, 8) & 255])
-            return b"" if c in (b"\n", b"\r\n", b"\r") else _PDF_ESCAPES.get(c, c)
-
-        raw = re.sub(rb"\\([0-7]{1,3}|\r\n|.)", plain, token[1:-1], flags=re.S)
-    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
-
-
-def _pdf_stream(body: bytes) -> bytes:
-    head, _, rest = body.partition(b"stream")
-    data = rest.lstrip(b"\r").removeprefix(b"\n").rpartition(b"endstream")[0]
-    filters = re.findall(rb"/(\w+Decode)", head)
-    if filters == [b"FlateDecode"]:
-        return zlib.decompressobj().decompress(data)
-    if filters:
-        raise ExtractionError(ERRORS["pdf unreadable"])
-    return data
-
-
 def pdf_text(data: bytes) -> str:
-    """Each page's shown strings joined by a space under its number; a page without text still has its number.
-
-    Reads the simple files of common writers: plain objects, flate or no compression, one-byte fonts without a map to Unicode.
-    Anything else (object streams, encryption, other fonts) is an error, not a guess.
-    """
-    if not data.lstrip()[:5] == b"%PDF-" or b"/ObjStm" in data or b"/Encrypt" in data or b"/ToUnicode" in data or b"/Type0" in data:
-        raise ExtractionError(ERRORS["pdf unreadable"])
-    objects = {int(m[1]): m[3] for m in _PDF_OBJECT.finditer(data)}
-    pages: list[str] = []
-
-    def walk(number: int, seen: frozenset[int]) -> None:
-        body = objects.get(number, b"")
-        if number in seen:
-            return
-        kids = re.search(rb"/Kids\s*\[(.*?)\]", body, re.S)
-        if kids:
-            for n in re.findall(rb"(\d+)\s+\d+\s+R", kids[1]):
-                walk(int(n), seen | {number})
-        elif re.search(rb"/Type\s*/Page\b", body):
-            m = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+\s+\d+\s+R))", body, re.S)
-            parts = re.findall(rb"(\d+)\s+\d+\s+R", (m[1] or m[2])) if m else []
-            content = b"\n".join(_pdf_stream(objects.get(int(n), b"")) for n in parts)
-            pages.append(" ".join("".join(map(_pdf_string, _PDF_STRING.findall(s))) for s in _PDF_SHOW.findall(content)))
-
-    root = re.search(rb"/Root\s+(\d+)", data)
-    tree = re.search(rb"/Pages\s+(\d+)", objects.get(int(root[1]), b"")) if root else None
-    if not tree:
-        raise ExtractionError(ERRORS["pdf unreadable"])
-    walk(int(tree[1]), frozenset())
-    text = "".join(f"[Page {i}]\n{t}\n\n" for i, t in enumerate(pages, 1)).strip(WEB_SPACE)
+    """Each page's shown strings joined by a space under its number; a page without text still has its number."""
+    try:
+        found = pdf.pages(data)
+    except pdf.PdfError as e:
+        raise ExtractionError(ERRORS["pdf unreadable"]) from e
+    text = "".join(f"[Page {i}]\n{t}\n\n" for i, t in enumerate(found, 1)).strip(WEB_SPACE)
     if not text:
         raise ExtractionError(ERRORS["pdf"])
     return text
@@ -236,10 +199,10 @@ def extracted(entries: DataFrame, extractors: dict[str, Extractor] = EXTRACTORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(len(b)):
-                row = b.slice(i, 1)
-                text, error = extract(row["_route"][0].as_py(), row["content"][0].as_py() or b"", extractors)
-                yield pa.RecordBatch.from_arrays([*(row[c] for c in keep), pa.array([text], pa.string()), pa.array([error], pa.string())], [*keep, "text", "error"])
+            # A row at a time to the readers, whose texts are small beside the files; the other columns pass as they are.
+            found = [extract(k, c.as_py() or b"", extractors) for k, c in zip(b.column("_route").to_pylist(), b.column("content"))]
+            text, error = (pa.array([f[i] for f in found], pa.string()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), text, error], [*keep, "text", "error"])
 
     zipped = routed.where(binary).select(*keep, "content", "_route").mapInArrow(run, plain.schema)
     return plain.unionByName(zipped)

@@ -68,6 +68,43 @@ def test_pdf(flate):
     assert files.pdf_text(data) == "[Page 1]\nHello (a) world\n\n[Page 2]\n\n\n[Page 3]\nHi"
 
 
+def test_pdf_of_today():
+    """Objects in an object stream, inherited resources, a composite font with a map to Unicode, a simple one without."""
+    cmap = b"begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0048> <0002> <00660069> endbfchar 1 beginbfrange <0010> <0012> <0061> <0020> <0021> [<00E9> <D83DDE00>] endbfrange"
+    content = b"q BT /F1 12 Tf <00010002> Tj [<0010> -20 <00110012>] TJ /F2 9 Tf (caf\\351 \\(x) Tj /F1 1 Tf <00200021> ' BI /W 1 ID (junk) Tj EI ET"
+    inner = {2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font 6 0 R >> >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents [5 0 R] >>", 6: b"<< /F1 7 0 R /F2 << /Subtype /Type1 >> >>", 7: b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 8 0 R >>"}
+    table, body = b"", b""
+    for number, value in inner.items():
+        table += b"%d %d " % (number, len(body))
+        body += value + b" "
+    packed = zlib.compress(table + body)
+    streams = {4: (b"/Type /ObjStm /N 4 /First %d" % len(table), packed), 5: (b"", zlib.compress(content)), 8: (b"", zlib.compress(cmap))}
+    data = b"%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n"
+    for number, (head, stream) in streams.items():
+        data += b"%d 0 obj << %s /Filter /FlateDecode /Length %d >> stream\n%s\nendstream endobj\n" % (number, head, len(stream), stream)
+    data += b"9 0 obj << /Type /XRef /Root 1 0 R /Length 0 >> stream\n\nendstream endobj\n"
+    assert files.pdf_text(data) == "[Page 1]\nHfi abc café (x é\U0001f600"
+    without = data.replace(b"/Filter /FlateDecode /Length %d >> stream\n%s" % (len(packed), packed), b"/Length %d >> stream\n%s" % (len(table + body), table + body.replace(b"/ToUnicode", b"/ToNothing")))
+    assert files.extract("pdf", without) == (None, files.ERRORS["pdf unreadable"])
+
+
+def test_docx_text_boxes_once():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
+    box = "<w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent>"
+    body = f"<w:p><w:r><w:t>out</w:t></w:r><w:r><mc:AlternateContent><mc:Choice>{box}</mc:Choice><mc:Fallback>{box}</mc:Fallback></mc:AlternateContent></w:r><w:r><w:t>er</w:t></w:r></w:p><w:p><w:r><w:t>next</w:t></w:r></w:p>"
+    assert files.docx_text(zipped(**{"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>"})) == "outer\n\nboxed\n\nnext"
+
+
+def test_what_is_inserted_is_returned(spark, tmp_path):
+    """Ids, times and texts that are made on the way are those of the table; nothing is worked out again."""
+    made = F.concat(F.lit("s"), F.rand().cast("string"))
+    rows = spark.range(20).select(F.concat(F.lit("p"), F.col("id") % 2).alias("project_id"), F.col("id").cast("string").alias("name"), made.alias("summary"))
+    out = sinks.append_documents(rows, str(tmp_path / "t"))
+    key = lambda r: (r.id, r.project_id, r.name, r.summary, r.created_at)
+    table = spark.read.parquet(str(tmp_path / "t")).collect()
+    assert sorted(map(key, out.collect())) == sorted(map(key, out.collect())) == sorted(map(key, table)) and len(table) == 20
+
+
 def test_pdf_says_what_it_cannot_read():
     assert files.extract("pdf", b"%PDF-1.5 /ObjStm")[1] == files.ERRORS["pdf unreadable"]
     assert files.extract("pdf", b"text")[1] == files.ERRORS["pdf unreadable"]
