@@ -15,16 +15,20 @@ from .operators.workspace import upserted
 from .schema import CHAT_MESSAGES, DOCUMENTS, PROJECTS
 
 
-def _appended(rows: DataFrame, schema, path: str, partition_by: tuple[str, ...] = (), mode: str = "append") -> DataFrame:
-    """Write rows in the table's shape and return them as written.
+def _appended(rows: DataFrame, schema, path: str, partition_by: tuple[str, ...] = (), mode: str = "append", returning: bool = True) -> DataFrame | None:
+    """Write rows in the table's shape and return them as written, or None.
 
     They are worked out once, to a folder beside the table's files that its readers do not see and that goes when the driver
     ends; what is returned is read from there, so times and ids are the table's and no model is called again.
     """
     spark, now = rows.sparkSession, F.lit(datetime.now(timezone.utc))
     given = {f.name: F.col(f.name).cast(f.dataType) if f.name in rows.columns else (F.uuid() if f.name == "id" else now if f.name == "created_at" else F.lit(None).cast(f.dataType)) for f in schema}
-    staged = f"{path.rstrip('/')}-staged/{uuid.uuid4().hex}"
-    rows.select(*[c.alias(n) for n, c in given.items()]).write.parquet(staged)
+    shaped = rows.select(*[c.alias(n) for n, c in given.items()])
+    if not returning:
+        shaped.write.mode(mode).partitionBy(*partition_by).parquet(path)
+        return None
+    staged = f"{path.rstrip('/').rpartition('/')[0]}/_staged-{uuid.uuid4().hex}"
+    shaped.write.parquet(staged)
     atexit.register(_remove, spark, staged)
     out = spark.read.schema(schema).parquet(staged)
     out.write.mode(mode).partitionBy(*partition_by).parquet(path)
@@ -42,9 +46,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def append_documents(rows: DataFrame, path: str, mode: str = "append") -> DataFrame:
+def append_documents(rows: DataFrame, path: str, mode: str = "append", returning: bool = True) -> DataFrame | None:
     """Partitioned by project, so that a project's documents are read by themselves."""
-    return _appended(rows, DOCUMENTS, path, ("project_id",), mode)
+    return _appended(rows, DOCUMENTS, path, ("project_id",), mode, returning)
 
 
 def append_projects(rows: DataFrame, path: str) -> DataFrame:

@@ -29,7 +29,7 @@ def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, provider:
         done = processed(batch, provider, user_id, project_id, model)
         status = f"{out}/status/batch={number}"
         done.write.mode("overwrite").parquet(status)  # also what a second look at this batch reads: models are asked once
-        append_documents(to_documents(batch.sparkSession.read.parquet(status)), f"{out}/documents/batch={number}", "overwrite")
+        append_documents(to_documents(batch.sparkSession.read.parquet(status)), f"{out}/documents/batch={number}", "overwrite", returning=False)
 
     writer = arriving(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer.trigger(availableNow=True)).start()
