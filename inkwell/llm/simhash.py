@@ -178,10 +178,12 @@ def forest(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.nd
     """Each fingerprint and the least one that it is linked to through others of this group; singles left out."""
     x = np.unique(fps)
     bits = x.view(np.uint64)
-    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= distance
     label = np.arange(len(x))
     while True:
-        least = np.where(near, label[None, :], len(x)).min(1)
+        least = np.empty_like(label)
+        for at in range(0, len(x), 256):  # bounds the memory for groups of any size
+            near = np.bitwise_count(bits[at : at + 256, None] ^ bits[None, :]) <= distance
+            least[at : at + 256] = np.where(near, label[None, :], len(x)).min(1)
         least = least[least]
         if (least == label).all():
             break
@@ -197,9 +199,11 @@ def links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataF
     while True:
         rows = stash(rows.select("mask", "value", "at", "fp"), "filed")
         counts = rows.groupBy("mask", "value").count().where("count > 1")
-        large = stash(counts.where(F.col("count") > group).select("mask", "value"), "large")
-        masks = [r["mask"] for r in large.where(F.col("mask") != -1).select("mask").distinct().collect()]  # at most a few per partition and level
-        small = rows.join(counts.where(F.col("count") <= group).select("mask", "value"), ["mask", "value"], "left_semi")
+        # Under all bits a group is one value and those within the threshold of it, a bounded number, and is compared as it is.
+        fits = (F.col("count") <= group) | (F.col("mask") == -1)
+        large = stash(counts.where(~fits).select("mask", "value"), "large")
+        masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # at most a few per partition and level
+        small = rows.join(counts.where(fits).select("mask", "value"), ["mask", "value"], "left_semi")
         found = _compared(small, distance)
         out = found if out is None else out.union(found)
         if not masks:
