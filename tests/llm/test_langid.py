@@ -99,3 +99,14 @@ def test_batches_do_not_show():
     one = [langid.predicted([t], langid.Emissions(model))[0] for t in texts]
     many = langid.predicted(texts, langid.Emissions(model))
     assert [a[0] for a in one] == [a[0] for a in many] and np.allclose([a[1] for a in one], [a[1] for a in many])
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    """However often an id or a row stands in the table; a language of long texts only gives spans of them."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 5)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 30)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[k % 4], f"text {k % 90} of one", "en") for k in range(2000)] + [(ids[5], "same", "de")] * 300 + [(i, "x" * 100 + str(i), "fr") for i in ids[:9]]
+    found = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    by = {lang: [t for t, x in found if x == lang] for lang in ("en", "de", "fr")}
+    assert len(by["en"]) == 5 and by["de"] == [b"same"] and by["fr"] == [b"x" * 30] * 5
