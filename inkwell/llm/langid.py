@@ -24,6 +24,8 @@ from .common import arrow_map, text_bytes
 
 #: Bounds of the sample: documents of each language, characters of a document, languages.
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 150, 20_000, 200
+#: Parts that the rows of a language are ranked in before its sample is chosen.
+WAYS = 32
 DIMS = 1 << 16
 GRAMS = (2, 3, 4)
 LEXICON = 200
@@ -257,7 +259,9 @@ def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
     # Texts stay where they are until rows are chosen: what is ranked are hashes.
     keyed = usable.join(F.broadcast(chosen), "lang", "left_semi")  # LANGUAGES rows at most
     ranked = keyed.select("lang", (F.char_length("text") > SAMPLE_CHARS).alias("_long"), F.xxhash64("doc_id", "text").alias("_h")).distinct()
-    ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_long", "_h"))).where(F.col("_n") <= SAMPLE_DOCS)
+    for ways in (WAYS, 1):  # a language with very many rows is ranked in parts first, and only their first rows meet
+        by_hash = Window.partitionBy("lang", F.pmod("_h", F.lit(ways))).orderBy("_long", "_h")
+        ranked = ranked.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= SAMPLE_DOCS).drop("_n")
     wanted = ranked.select("lang", "_h")  # SAMPLE_DOCS * LANGUAGES rows at most
     found = keyed.select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("_h")).join(F.broadcast(wanted), ["lang", "_h"])
     found = found.select("lang", "doc_id", "_h", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))

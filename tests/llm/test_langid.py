@@ -110,3 +110,11 @@ def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
     found = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     by = {lang: [t for t, x in found if x == lang] for lang in ("en", "de", "fr")}
     assert len(by["en"]) == 5 and by["de"] == [b"same"] and by["fr"] == [b"x" * 30] * 5
+
+
+def test_the_sample_is_the_first_by_hash_however_it_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 40)
+    df = spark.createDataFrame([(k, f"text {k}", "en" if k % 3 else "de") for k in range(900)], "doc_id long, text string, lang string")
+    found = langid.sample(df)
+    monkeypatch.setattr(langid, "WAYS", 1)
+    assert found == langid.sample(df) and len(found) == 80
