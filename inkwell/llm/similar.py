@@ -41,6 +41,8 @@ ROW_COST, MET_COST, PAIR_COST = 1.0, 4.0, 0.05
 #: Largest group of which all pairs are compared at once; each round takes GROWTH times as many members as the one before.
 GROUP = 64
 GROWTH = 8
+#: Members of a group for which a set is sent once when pairs are verified: a set that very many are compared with goes to many tasks.
+SPLIT = 64
 _FACTORS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -169,9 +171,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    # The smallest of a group are `a` of its pairs, so only `a` can be in very many.
+    one = sets.join(pairs.select("a", "way").distinct(), F.col("node") == F.col("a")).select("a", "way", F.col("shingles").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return arrow_map(pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y"), run, "a long, b long")
+    return arrow_map(pairs.join(other, "b").join(one, ["a", "way"]).select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def roots(members: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
@@ -185,13 +188,15 @@ def roots(members: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: flo
         found = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.min("root").alias("r1"), F.max("root").alias("r2"))
         found = found.where("n > 1 and r1 <> r2").drop("r1", "r2")
         first = (F.col("n") <= group) | (F.col("node") == F.col("low")) | (_share(F.col("node")) < _share(F.col("low")) + (1 - _share(F.col("low"))) * group / F.col("n"))
-        members = stash(members.join(found, "key").select("key", "node", "size", *check, "root", first.alias("first")), "members")
+        ways = F.ceil(F.col("n") / SPLIT).alias("ways")
+        members = stash(members.join(found, "key").select("key", "node", "size", *check, "root", first.alias("first"), ways), "members")
         if edges is not None and members.isEmpty():
             return known
         one = members.where("first").select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("r"), *[F.col(c).alias(f"_{c}") for c in check])
         near = (F.col("a") != F.col("node")) & (~F.col("first") | (F.col("a") < F.col("node"))) & (F.col("r") != F.col("root")) & (F.least("m", "size") >= similarity * F.greatest("m", "size"))
-        pairs = one.join(members, "key").where(near & (apart <= most)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        pairs = stash(pairs.distinct(), "pairs")
+        pairs = one.join(members, "key").where(near & (apart <= most)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "ways")
+        pairs = pairs.groupBy("a", "b").agg(F.max("ways").alias("ways"))
+        pairs = stash(pairs.select("a", "b", F.pmod(F.xxhash64("b"), "ways").alias("way")), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = stash(_sets(docs, nodes.select("node", "th").join(wanted, "node", "left_semi"), shingle), "sets")
         good = stash(_verified(pairs, sets, similarity), "links")
