@@ -62,17 +62,6 @@ def test_components_are_those_of_all_pairs(spark, copies):
     compared({r.doc_id: r.component_id for r in similar.near_copies(df, group=4).collect()}, slow_roots(copies))
 
 
-def test_sets_in_many_pairs_are_split(spark, copies, monkeypatch):
-    """The verified pairs do not depend on how many tasks a set is sent to."""
-    df = spark.createDataFrame(copies, "doc_id long, text string").repartition(5)
-    found = []
-    for split in (2, 10**6):
-        monkeypatch.setattr(similar, "SPLIT", split)
-        found.append({r.doc_id: r.component_id for r in similar.near_copies(df).collect()})
-    assert found[0] == found[1]
-    compared(found[0], slow_roots(copies))
-
-
 def test_the_scheme_finds_what_it_says():
     """Pairs at the similarity itself: of those that differ in as many random bits, the share that some partition finds."""
     rng = np.random.default_rng(5)
