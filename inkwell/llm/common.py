@@ -59,6 +59,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Whether a query's shuffle files go when it ends; otherwise they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stash_freed(df: DataFrame, name: str) -> DataFrame:
+    """stash(), after which no shuffle file of the write is left: disk is that of the largest step, not of all so far."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return stash(df, name)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
+
+
 def words(text: Column) -> Column:
     """array<string> of the words; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), NOT_WORD), lambda w: w != "")

@@ -21,9 +21,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow_map, packed, stash, text_bytes, unpacked
+from .common import arrow_map, packed, stash_freed, text_bytes, unpacked
 from .components import components
 from .simhash import BITS, _mask, _signed, allocated, ball, grouped
 from .substring_dedup import mixed, rolling, word_hashes
@@ -180,25 +180,33 @@ def roots(members: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: flo
     share = differing(similarity)
     most = math.floor(CHECK * BITS * share + DEVIATIONS * math.sqrt(CHECK * BITS * share * (1 - share)))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in check), F.lit(0))
-    members, edges = members.withColumn("root", F.col("node")), None
+    by_key = Window.partitionBy("key")
+
+    def unsettled(members: DataFrame) -> DataFrame:
+        """members of groups that links don't join yet, with the group's size n and least node: by a window, so that a plan that reads it twice has one shuffle."""
+        counted = {"n": F.count("*"), "low": F.min("node"), "r1": F.min("root"), "r2": F.max("root")}
+        return members.withColumns({c: x.over(by_key) for c, x in counted.items()}).where("n > 1 and r1 <> r2").drop("r1", "r2")
+
+    # The first round's are not written: that and a shuffle of what was written would take the disk of the rows thrice.
+    members, edges = unsettled(members.withColumn("root", F.col("node"))), None
     while True:
-        found = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-        found = found.where("n > 1 and r1 <> r2").drop("r1", "r2")
         first = (F.col("n") <= group) | (F.col("node") == F.col("low")) | (_share(F.col("node")) < _share(F.col("low")) + (1 - _share(F.col("low"))) * group / F.col("n"))
-        members = stash(members.join(found, "key").select("key", "node", "size", *check, "root", first.alias("first")), "members")
-        if edges is not None and members.isEmpty():
-            return known
+        members = members.select("key", "node", "size", *check, "root", first.alias("first"))
         one = members.where("first").select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("r"), *[F.col(c).alias(f"_{c}") for c in check])
         near = (F.col("a") != F.col("node")) & (~F.col("first") | (F.col("a") < F.col("node"))) & (F.col("r") != F.col("root")) & (F.least("m", "size") >= similarity * F.greatest("m", "size"))
-        pairs = one.join(members, "key").where(near & (apart <= most)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        pairs = stash(pairs.distinct(), "pairs")
+        # On the right, of which a merge join holds a key's rows in memory, are the few.
+        pairs = members.join(one, "key").where(near & (apart <= most)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        pairs = stash_freed(pairs.distinct(), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = stash(_sets(docs, nodes.select("node", "th").join(wanted, "node", "left_semi"), shingle), "sets")
-        good = stash(_verified(pairs, sets, similarity), "links")
+        sets = stash_freed(_sets(docs, nodes.select("node", "th").join(wanted, "node", "left_semi"), shingle), "sets")
+        good = stash_freed(_verified(pairs, sets, similarity), "links")
         edges = good if edges is None else edges.union(good)
-        known = stash(components(edges), "roots")
+        known = stash_freed(components(edges), "roots")
         rest, at = members.where("not first").drop("root", "first"), known.withColumnRenamed("node", "_node")
-        members = rest.join(at, rest["node"] == at["_node"], "left").select("key", "node", "size", *check, F.coalesce("root", "node").alias("root"))
+        rest = rest.join(at, rest["node"] == at["_node"], "left").select("key", "node", "size", *check, F.coalesce("root", "node").alias("root"))
+        members = stash_freed(unsettled(rest), "members")
+        if members.isEmpty():
+            return known
         group *= GROWTH
 
 
@@ -208,13 +216,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     Texts without words are one component. One row of each component, the first by doc_id (null last) and text_hash, has
     is_kept; rows alike in both are all marked. An empty table gives no rows; other columns are not read.
     """
-    rows = stash(signatures(docs, shingle), "signatures")
+    rows = stash_freed(signatures(docs, shingle), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    nodes = stash(rows.groupBy("node").agg(first.alias("first"), F.min("text_hash").alias("th"), F.first("size").alias("size"), F.first("sig").alias("sig")), "nodes")
+    nodes = stash_freed(rows.groupBy("node").agg(first.alias("first"), F.min("text_hash").alias("th"), F.first("size").alias("size"), F.first("sig").alias("sig")), "nodes")
     parts = scheme(together(nodes), nodes.count(), similarity)
     of = roots(filed(nodes.where("size > 0"), parts), nodes, docs, similarity, shingle, group)
     known = nodes.join(of, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    known = stash(known, "known")
+    known = stash_freed(known, "known")
     best = known.groupBy("root").agg(F.min("first").alias("best"))
     joined = rows.select("doc_id", "text_hash", "node").join(known.join(best, "root").select("node", "best"), "node")
     kept = joined["doc_id"].eqNullSafe(F.col("best.doc_id")) & (joined["text_hash"] == F.col("best.text_hash"))
@@ -223,7 +231,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, with docs' columns; rows alike in doc_id and text become one."""
-    kept = near_copies(docs, similarity, shingle).where("is_kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
-    keyed = packed(docs, _doc_id=F.col("doc_id").cast("long"), _text_hash=F.xxhash64("text"))
-    out = keyed.join(kept, keyed["_doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text_hash"] == kept["_th"]), "left_semi")
-    return unpacked(out.dropDuplicates(["_doc_id", "_text_hash"]), docs.columns)
+    keys = {"_none": F.col("doc_id").cast("long").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}  # no nulls: join and dropDuplicates share a shuffle of the texts
+    kept = near_copies(docs, similarity, shingle).where("is_kept").select(*[c.alias(k) for k, c in keys.items()], F.col("text_hash").alias("_th"))
+    out = packed(docs, **keys, _th=F.xxhash64("text")).join(kept, [*keys, "_th"], "left_semi")
+    return unpacked(out.dropDuplicates([*keys, "_th"]), docs.columns)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from inkwell.llm import common
@@ -28,6 +30,20 @@ def test_stash_reads_what_was_written(spark):
     assert out.schema == df.schema and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_a_freed_stash_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in files.mkString("\n").split("\n") if "/shuffle_" in f}
+
+    before, setting = shuffled(), spark.conf.get(common._CLEANUP)
+    out = common.stash_freed(spark.range(1000).repartition(3, "id").groupBy("id").count(), "t")
+    assert len(out.collect()) == 1000 and spark.conf.get(common._CLEANUP) == setting
+    until = time.time() + 20  # Spark doesn't wait for the files to go
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
 def test_words_are_parted_by_ascii_space_alone(spark):
     from pyspark.sql import functions as F
 

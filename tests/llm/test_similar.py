@@ -62,6 +62,22 @@ def test_components_are_those_of_all_pairs(spark, copies):
     compared({r.doc_id: r.component_id for r in similar.near_copies(df, group=4).collect()}, slow_roots(copies))
 
 
+def test_filed_rows_are_shuffled_once(spark, copies, monkeypatch):
+    """Sizes of groups and both sides of their comparison come from one shuffle, and what is filed is not written before."""
+    plans, real = {}, similar.stash_freed
+
+    def spy(df, name):
+        if name not in plans:
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+        return real(df, name)
+
+    monkeypatch.setattr(similar, "stash_freed", spy)
+    similar.near_copies(spark.createDataFrame(copies, "doc_id long, text string")).count()
+    assert list(plans)[:3] == ["signatures", "nodes", "pairs"]
+    assert plans["pairs"].count("Generate explode") == 1 and "ReusedExchange" in plans["pairs"]
+
+
 def test_the_scheme_finds_what_it_says():
     """Pairs at the similarity itself: of those that differ in as many random bits, the share that some partition finds."""
     rng = np.random.default_rng(5)
